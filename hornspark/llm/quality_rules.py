@@ -68,7 +68,7 @@ def rules(prefix: str) -> list[tuple[Column, Column]]:
     return [
         (n < 20, full),
         (c["n_symbols"] > 0.1 * n, c["n_symbols"] <= 0.02 * n),
-        (c["n_dup_lines"] > 0.3 * c["n_lines"], (c["n_lines"] >= 2) & (c["n_dup_lines"] == 0)),
+        (c["n_dup_lines"] > 0.5 * c["n_lines"], (c["n_lines"] >= 2) & (c["n_dup_lines"] == 0)),
         (c["n_repeat_words"] > 0.3 * n, full & (c["n_repeat_words"] <= 0.1 * n)),
         ((c["word_chars"] < 2.5 * n) | (c["word_chars"] > 14 * n), c["word_chars"].between(3 * n, 10 * n)),
         (c["n_upper"] > 0.4 * c["word_chars"], c["n_upper"] <= 0.15 * c["word_chars"]),
@@ -84,42 +84,59 @@ def votes_of(prefix: str) -> list[Column]:
 
 @dataclass
 class LabelModel:
-    """What EM found: the share of good documents and, for each rule, P(votes good | good), P(votes bad | bad)."""
+    """What EM found. Class 0 is good; class j + 1 is the kind of bad that rule j was set to catch.
 
-    share: float
-    accuracy: list[tuple[float, float]]
+    share: of each class; passes: for each class and rule, how likely a vote, if there is one, is good."""
 
-    def weights(self) -> list[tuple[float, float]]:
-        """For each rule, the log odds that a bad and a good vote add."""
-        return [(math.log((1 - a) / b), math.log(a / (1 - b))) for a, b in self.accuracy]
+    share: list[float]
+    passes: list[list[float]]
 
-    def log_odds(self, votes: list[Column]) -> Column:
-        total = F.lit(math.log(self.share / (1 - self.share)))
-        for v, (bad, good) in zip(votes, self.weights(), strict=True):
-            total = total + F.when(v == 0, bad).when(v == 2, good).otherwise(0.0)
-        return total
+    def terms(self, c: int) -> list[tuple[float, float]]:
+        """For each rule, what a bad and a good vote add to the log likelihood of class c."""
+        return [(math.log(1 - p), math.log(p)) for p in self.passes[c]]
 
+    def posterior(self, votes: tuple[int, ...]) -> list[float]:
+        logs = [math.log(s) + sum(t[v // 2] for t, v in zip(self.terms(c), votes, strict=True) if v != 1) for c, s in enumerate(self.share)]
+        odds = [math.exp(x - max(logs)) for x in logs]
+        return [x / sum(odds) for x in odds]
 
-def fit_votes(counts: dict[tuple[int, ...], int], rounds: int = 60, least: float = 0.55, strength: float = 20.0) -> LabelModel:
-    """EM over counted vote patterns. Accuracies have a prior of 0.85 that weighs strength documents and stay
-    between least and 0.99, so that the classes can't swap; the share stays between 0.02 and 0.98."""
+    def quality(self, votes: list[Column]) -> Column:
+        """P(good | votes) as a column: 1 / (1 + the odds of each kind of bad against good)."""
+        good, against = self.terms(0), []
+        for c in range(1, len(self.share)):
+            odds = F.lit(math.log(self.share[c] / self.share[0]))
+            for v, bad_term, good_term in zip(votes, self.terms(c), good, strict=True):
+                odds = odds + F.when(v == 0, bad_term[0] - good_term[0]).when(v == 2, bad_term[1] - good_term[1]).otherwise(0.0)
+            against.append(F.exp(F.least(odds, F.lit(500.0))))
+        return 1 / (1 + sum(against[1:], against[0]))
+
+
+def fit_votes(counts: dict[tuple[int, ...], int], rounds: int = 80, strength: float = 20.0) -> LabelModel:
+    """EM over counted vote patterns; priors weigh strength documents each.
+
+    Good documents pass each rule with prior 0.99 and at least 0.98, a kind of bad its own rule with prior 0.1
+    and at most 0.3, other rules with prior 0.95. So the classes keep their meaning, and a kind of bad that only
+    one rule can see isn't outvoted by rules that look at something else."""
     k = len(RULE_NAMES)
-    model = LabelModel(0.8, [(0.85, 0.85)] * k)
+    prior = [[0.99] * k] + [[0.1 if i == j else 0.95 for i in range(k)] for j in range(k)]
+    low = [[0.98] * k] + [[0.01] * k for _ in range(k)]
+    high = [[0.9995] * k] + [[0.3 if i == j else 0.99 for i in range(k)] for j in range(k)]
+    of_class = [0.85] + [0.15 / k] * k
+    model = LabelModel(of_class, prior)
     for _ in range(rounds):
-        logit, add = math.log(model.share / (1 - model.share)), model.weights()
-        good = bad = 0.0
-        hit = [[0.0, 0.0, 0.0, 0.0] for _ in range(k)]  # right and all votes under good, right and all under bad
+        n_class, passed, voted = [0.0] * (k + 1), [[0.0] * k for _ in range(k + 1)], [[0.0] * k for _ in range(k + 1)]
         for votes, n in counts.items():
-            z = logit + sum(add[j][v // 2] for j, v in enumerate(votes) if v != 1)
-            p = 1 / (1 + math.exp(-max(-500.0, min(500.0, z))))
-            good, bad = good + n * p, bad + n * (1 - p)
-            for j, v in enumerate(votes):
-                if v != 1:
-                    hit[j][1] += n * p
-                    hit[j][3] += n * (1 - p)
-                    hit[j][0 if v == 2 else 2] += n * (p if v == 2 else 1 - p)
-        bound = lambda right, total: min(0.99, max(least, (right + 0.85 * strength) / (total + strength)))
-        model = LabelModel(min(0.98, max(0.02, (good + 0.8 * strength) / (good + bad + strength))), [(bound(a, b), bound(c, d)) for a, b, c, d in hit])
+            for c, p in enumerate(model.posterior(votes)):
+                n_class[c] += n * p
+                for j, v in enumerate(votes):
+                    if v != 1:
+                        voted[c][j] += n * p
+                        passed[c][j] += n * p * (v == 2)
+        total = sum(n_class) + strength
+        model = LabelModel(
+            [(n + strength * s) / total for n, s in zip(n_class, of_class, strict=True)],
+            [[min(high[c][j], max(low[c][j], (passed[c][j] + strength * prior[c][j]) / (voted[c][j] + strength))) for j in range(k)] for c in range(k + 1)],
+        )
     return model
 
 
@@ -139,9 +156,9 @@ def judged(docs: DataFrame, text_col: str = "text", prefix: str = "__hs_", carry
     code = sum((v * 3**j for j, v in enumerate(votes)), F.lit(0)).alias("code")
     counts = {tuple(r["code"] // 3**j % 3 for j in range(len(RULE_NAMES))): r["count"] for r in rows.select(code).groupBy("code").count().collect()}
     model = fit_votes(counts)
-    odds = model.log_odds(votes)
+    good = model.quality(votes)
     failed = base_failed(F.col(prefix + "n_words"), F.col(prefix + "n_repeat_words"))
-    out = rows.select("*", failed.alias(prefix + "base_failed"), (1 / (1 + F.exp(-odds))).alias(prefix + "quality"), (~failed & (odds >= 0)).alias(prefix + "kept"))
+    out = rows.select("*", failed.alias(prefix + "base_failed"), good.alias(prefix + "quality"), (~failed & (good >= 0.5)).alias(prefix + "kept"))
     return out, model
 
 
