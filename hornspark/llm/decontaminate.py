@@ -85,8 +85,10 @@ def templates(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
         first[1:] |= _STOP[data[ends[:-1] - 1]] | (newline[starts[1:]] > newline[ends[:-1]])
     kind = np.full(len(starts), WORD, np.int8)
     head = data[begin]
-    two = np.append(data, 0)[begin + 1] if len(begin) else head
-    kind[(_UPPER[head] | ((head == 0xC3) & (two >= 0x80) & (two <= 0x9E))) & ~first] = NAME
+    # Names begin in upper case and go on in lower case; what is all in upper case is shouted.
+    changed = np.concatenate(([0], np.cumsum(low != data)))
+    capital = low[np.minimum(begin + (head == 0xC3), len(low) - 1)] != data[np.minimum(begin + (head == 0xC3), len(low) - 1)] if len(begin) else head > 0
+    kind[capital & (changed[last + 1] - changed[begin] == 1) & (size > 1 + (head == 0xC3)) & ~first] = NAME
     kind[_DIGIT[head]] = NUMBER
     if len(starts) > 1:
         after = np.concatenate(([False], kind[:-1] == NUMBER)) & ~first
