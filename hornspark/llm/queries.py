@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, ngram_join, packing, quality_rules
+from . import decontaminate, line_dedup, ngram_join, packing, quality_rules, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,15 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", *(F.col("__hs_" + c).alias(c) for c in names), F.round("__hs_quality", 6).alias("quality"))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archive = warc.write_archive(table(spark, sf_dir, "pages"))
+    return archive.records().select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def digest(pieces: DataFrame) -> DataFrame:
     """Pieces with a checksum in place of their ids."""
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -43,11 +52,21 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op5_quality_rules": op5_quality_rules,
+    "op6_warc": op6_warc,
+    "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op9_packing": op9_packing,
     "op10_line_dedup": op10_line_dedup,
 }
 
 ORACLE_SQL = {
+    "op6_warc": r"""
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT payload_digest, min(page_id) AS lo FROM p WHERE octet_length(b) >= 100 GROUP BY payload_digest)
+SELECT p.page_id, CAST(octet_length(p.b) AS BIGINT) AS payload_bytes, p.payload_digest,
+       CASE WHEN f.lo IS NULL OR f.lo = p.page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN f.lo <> p.page_id THEN f.lo END AS refers_to
+FROM p LEFT JOIN f USING (payload_digest)
+""",
     "op10_line_dedup": r"""
 WITH l AS (
   SELECT d.doc_id, u.pos, u.line,
