@@ -1,10 +1,16 @@
-"""Quality rules, line dedup, near-duplicate removal, benchmark decontamination and packing over ``documents``."""
+"""Quality rules, line dedup, near-duplicate removal, benchmark decontamination and packing over ``documents``.
+
+Each stage takes the documents its predecessor kept. All but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from hornspark.llm import line_dedup, quality_rules
+from hornspark.llm import decontaminate, line_dedup, ngram_join, packing, quality_rules
+from hornspark.llm._common import written
+from hornspark.llm.queries import digest
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -17,12 +23,30 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(docs)
 
 
-STAGES = [("quality_rules", quality), ("line_dedup", lines)]
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group linked by the Jaccard similarity of five-word shingles, 0.8 or more, the smallest id stays."""
+    return ngram_join.keep_first(docs, words=5, num=80, den=100)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, as it is or with other numbers, names and units, go."""
+    return decontaminate.keep_clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of sequences of 1024 tokens, with checksums of their ids."""
+    return digest(packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), length=1024))
+
+
+STAGES = [("quality_rules", quality), ("line_dedup", lines), ("ngram_jaccard_join", near_duplicates), ("benchmark_decontamination", decontamination), ("packing", pack)]
+#: Expectation-maximisation and BPE aren't SQL; tests compare the stages with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs = written(docs, name)
     return docs

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_dedup, ngram_join, packing, quality_rules, warc
+from . import decontaminate, line_dedup, ngram_join, packing, quality_classifier, quality_rules, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,11 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similarity_groups(table(spark, sf_dir, "documents"), words=3, num=90, den=100)
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, _ = toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return rows.select("*", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     rows, _ = quality_rules.judged(docs, carry=["doc_id"])
@@ -29,6 +34,11 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive.records().select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, _ = quality_classifier.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return rows.select("*", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -51,8 +61,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op4_toxicity": op4_toxicity,
     "op5_quality_rules": op5_quality_rules,
     "op6_warc": op6_warc,
+    "op7_quality_classifier": op7_quality_classifier,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op9_packing": op9_packing,
     "op10_line_dedup": op10_line_dedup,
