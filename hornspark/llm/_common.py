@@ -49,7 +49,8 @@ def words(text: Column) -> Column:
 
 
 def lower_ascii(text: Column) -> Column:
-    return F.translate(text, UPPER, UPPER.lower())
+    """A-Z in lower case, other letters as they are. ``lower`` does that many times faster where all is ASCII."""
+    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, UPPER.lower()))
 
 
 def crc_fold(doc_id: Column, folds: int = 5) -> Column:

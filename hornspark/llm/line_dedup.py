@@ -9,15 +9,10 @@ each key has one row on the other side, so that a skewed partition can be split
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import WS, lower_ascii
-
-
-def line_key(line: Column) -> Column:
-    """The line with ASCII white space stripped at both ends and A-Z lower-cased."""
-    return lower_ascii(F.btrim(line, F.lit(WS)))
+from ._common import WS, lower_ascii, written
 
 
 def dedup_lines(
@@ -38,17 +33,19 @@ def dedup_lines(
     * Rows with the same id are one document for counting; each row is reassembled on its own.
     * Other columns pass through, whatever their names.
     """
-    key_of = lambda x: F.when(F.length(line_key(x)) >= min_chars, F.unhex(F.md5(line_key(x))))
-    lines = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1)
+    # Lower-casing keeps line ends, so it's done once for the text.
+    lines = F.split(lower_ascii(F.coalesce(F.col(text_col), F.lit(""))), "\n", -1)
     narrow = docs.select(F.col(id_col).alias("i"), F.xxhash64(text_col).alias("t"), lines.alias("l")).where("i IS NOT NULL")
-    keyed = narrow.select("i", "t", F.posexplode("l").alias("p", "line")).select("i", "t", "p", key_of(F.col("line")).alias("h")).where("h IS NOT NULL")
+    keys = narrow.select("i", "t", F.posexplode("l").alias("p", "line")).select("i", "t", "p", F.btrim("line", F.lit(WS)).alias("k"))
+    keyed = keys.where(F.length("k") >= min_chars).select("i", "t", "p", F.unhex(F.md5("k")).alias("h"))
 
     if min_docs <= 2:
         counted = keyed.groupBy("h").agg(F.min("i").alias("lo"), F.max("i").alias("hi")).where("lo < hi" if min_docs == 2 else "true")
     else:
         counted = keyed.select("h", "i").distinct().groupBy("h").agg(F.min("i").alias("lo"), F.count("*").alias("n")).where(F.col("n") >= min_docs)
+    # A table of its own, so that both sides of the join are exchanges and a skewed one can be split.
     drops = (
-        keyed.join(counted.select("h", "lo"), "h")
+        keyed.join(written(counted.select("h", "lo"), "repeated-lines"), "h")
         .where("i > lo")
         .groupBy(F.col("i").alias("__hs_i"), F.col("t").alias("__hs_t"))
         .agg(F.collect_set("p").alias("__hs_p"))
