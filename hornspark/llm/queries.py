@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_dedup, ngram_join, packing, quality_classifier, quality_rules, toxicity, warc
+from . import decontaminate, line_dedup, ngram_join, packing, quality_classifier, quality_rules, secrets, token_counts, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,16 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similarity_groups(table(spark, sf_dir, "documents"), words=3, num=90, den=100)
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings without the secrets themselves."""
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "position", F.sha2("candidate", 256).alias("candidate_sha256"), F.length("candidate").alias("length"), F.round("score", 6).alias("score"), "is_secret")
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, _ = toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return rows.select("*", (F.col("score") >= 0.5).cast("int").alias("predicted"))
@@ -61,6 +71,8 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op2_secret_scan": op2_secret_scan,
+    "op3_token_counts": op3_token_counts,
     "op4_toxicity": op4_toxicity,
     "op5_quality_rules": op5_quality_rules,
     "op6_warc": op6_warc,
