@@ -161,9 +161,10 @@ def _post(counts):
 
 
 def _alike(n, m, i, j, num: int, den: int):
-    """Length and positional filter for sizes n and m and the positions i and j of a common token."""
+    """Length and positional filter for sizes n and m and the positions i and j of a common token. Tokens before
+    it aren't counted: of the tokens that two sets share, the first one has none before it, and its test is enough."""
     n, m = n.astype(np.int64), m.astype(np.int64)
-    most = np.minimum(i, j) + np.minimum(n - i, m - j)
+    most = np.minimum(n - i, m - j)
     return (np.minimum(n, m) * den >= np.maximum(n, m) * num) & (most * (num + den) >= num * (n + m))
 
 
@@ -330,7 +331,7 @@ def similarity_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         open_ = own.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("token")
         own = own.join(open_, "token")
         side = lambda x: own.select("token", *(F.col(c).alias(c + x) for c in ("c", "n", "pos", "root")))
-        most = F.least("pos1", "pos2") + F.least(F.col("n1") - F.col("pos1"), F.col("n2") - F.col("pos2"))
+        most = F.least(F.col("n1") - F.col("pos1"), F.col("n2") - F.col("pos2"))
         across = side("1").join(side("2"), "token").where(
             (F.col("root1") < F.col("root2")) & (F.least("n1", "n2") * den >= F.greatest("n1", "n2") * num) & (most * (num + den) >= num * (F.col("n1") + F.col("n2")))
         )
