@@ -81,8 +81,7 @@ def templates(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     first = np.zeros(len(starts), bool)
     first[at[:-1][at[:-1] < len(starts)]] = True
     if len(starts) > 1:
-        newline = np.concatenate(([0], np.cumsum(data == 10)))
-        first[1:] |= _STOP[data[ends[:-1] - 1]] | (newline[starts[1:]] > newline[ends[:-1]])
+        first[1:] |= _STOP[data[ends[:-1] - 1]]
     kind = np.full(len(starts), WORD, np.int8)
     head = data[begin]
     # Names begin in upper case and go on in lower case; what is all in upper case is shouted.
