@@ -246,8 +246,12 @@ class Archive:
 
     def _lookup_joined(self, urls: DataFrame, url_col: str) -> DataFrame:
         """The same with the index's lines joined by key, for directories too large to send."""
-        keyed = F.udf(url_key, "string")
-        asked = urls.select(F.col(url_col).cast("string").alias("query")).withColumn("key", keyed("query"))
+
+        def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield _batch([(u, url_key(u)) for u in batch.column(0).to_pylist()], "query string, key string")
+
+        asked = urls.select(F.col(url_col).cast("string")).mapInArrow(keyed, "query string, key string")
         return asked.join(self.captures(), "key").select("query", "key", "page_id", "url", "file", "at", "size")
 
     def _in_blocks(self, where: DataFrame) -> DataFrame:
