@@ -284,10 +284,67 @@ def _verify(num: int, den: int):
     return run
 
 
-def _linked(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame | None:
-    """The pairs (a, b) of classes whose sets are similar enough, as a written table; None if no pair may be."""
+def _filtered(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) of classes that pass the suffix filter."""
     side = lambda x: classes.select(F.col("c").alias(x), F.col("n").alias("n" + x), F.col("signature").alias("s" + x))
-    near = written(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_suffix_filter(num, den), "a long, b long"), "near")
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_suffix_filter(num, den), "a long, b long")
+
+
+def _across(num: int, den: int):
+    """Pairs of rows (token, i, j, block, c, n, pos, root, signature) of one run (token, i, j), sorted by n, whose
+    roots differ and blocks are i and j, and that pass all filters. Pairs that fail are never made into rows."""
+
+    def pairs(block, c, n, pos, root, sig, i, j) -> pa.RecordBatch:
+        words = [np.frombuffer(s, np.uint64) for s in sig]
+        size = np.array([len(w) for w in words])
+        folded: dict[int, np.ndarray] = {}
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for x in range(len(c)):
+            stop = int(np.searchsorted(n * num, n[x] * den, "right"))
+            y = np.arange(x + 1, stop)
+            other = i + j - block[x] if i != j else i
+            y = y[(root[y] != root[x]) & (block[y] == other)]
+            y = y[_alike(np.full(len(y), n[x]), n[y], np.full(len(y), pos[x]), pos[y], num, den)]
+            if not len(y):
+                continue
+            s = int(size[x])
+            if s not in folded:
+                folded[s] = np.stack([_folded(w, s) if len(w) >= s else np.zeros(s, np.uint64) for w in words])
+            y = y[size[y] >= s]  # n is sorted, and signatures grow with n
+            differ = np.bitwise_count(folded[s][y] ^ words[x]).sum(axis=1)
+            y = y[differ <= (den - num) * (n[x] + n[y]) // (num + den)]
+            a.append(np.full(len(y), c[x])), b.append(c[y])
+        left, right = np.concatenate(a), np.concatenate(b)
+        return _rows(_PAIRS, np.minimum(left, right), np.maximum(left, right))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+
+        def flush():
+            if len(held) > 1:
+                block, c, n, pos, root = (np.array(x, np.int64) for x in list(zip(*held, strict=True))[:5])
+                yield pairs(block, c, n, pos, root, [h[5] for h in held], key[1], key[2])
+
+        for batch in batches:
+            for token, i, j, *rest in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (token, i, j) != key:
+                    yield from flush()
+                    key, held = (token, i, j), []
+                held.append(rest)
+        yield from flush()
+
+    return run
+
+
+def _folded(w: np.ndarray, size: int) -> np.ndarray:
+    while len(w) > size:
+        w = w[: len(w) // 2] ^ w[len(w) // 2 :]
+    return w
+
+
+def _linked(near: DataFrame, classes: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame | None:
+    """The pairs (a, b) of classes whose sets are similar enough, as a written table; None if no pair may be."""
+    near = written(near, "near")
     if near.isEmpty():
         return None
     needed = near.select(F.explode(F.array("a", "b")).alias("c")).distinct().join(classes, "c").select("c", "doc_id", "digest")
@@ -321,21 +378,20 @@ def similarity_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     found = written(_scanned(postings, num, den), "runs")
     hubs = found.where("hub").select("token", F.lit(0).alias("salt"), "n", F.col("a").alias("c"), "pos")
     pairs = found.where("b IS NOT NULL").select("a", "b").union(_scanned(hubs, num, den).where("b IS NOT NULL").select("a", "b")).distinct()
-    links = _linked(pairs, classes, docs, words, num, den)
+    links = _linked(_filtered(pairs, classes, num, den), classes, docs, words, num, den)
     root = components(links) if links is not None else None
 
     long_runs = found.where("b IS NULL").select("token", F.col("a").alias("c"), "n", "pos")
     if not long_runs.isEmpty():
         own = long_runs.join(root.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c")) if root is not None else long_runs.withColumn("root", F.col("c"))
         own = written(own, "long-runs")
-        open_ = own.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("token")
-        own = own.join(open_, "token")
-        side = lambda x: own.select("token", *(F.col(c).alias(c + x) for c in ("c", "n", "pos", "root")))
-        most = F.least(F.col("n1") - F.col("pos1"), F.col("n2") - F.col("pos2"))
-        across = side("1").join(side("2"), "token").where(
-            (F.col("root1") < F.col("root2")) & (F.least("n1", "n2") * den >= F.greatest("n1", "n2") * num) & (most * (num + den) >= num * (F.col("n1") + F.col("n2")))
-        )
-        more = _linked(across.select(F.least("c1", "c2").alias("a"), F.greatest("c1", "c2").alias("b")).distinct(), classes, docs, words, num, den)
+        open_ = own.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("m")).where("lo < hi")
+        # A run longer than RUN is cut into blocks, and each pair of blocks is a run of its own.
+        own = own.join(written(open_.select("token", F.ceil(F.col("m") / RUN).cast("int").alias("blocks")), "open-runs"), "token")
+        own = own.withColumn("block", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        own = own.join(classes.select("c", "signature"), "c").select("token", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "c", "n", "pos", "root", "signature")
+        near = own.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "n", "c").mapInArrow(_across(num, den), "a long, b long").distinct()
+        more = _linked(near, classes, docs, words, num, den)
         if more is not None:
             links = links.union(more)
             root = components(links)
