@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ._common import written
 from .labelled import held_out, training_ids
-from .quality_rules import STATS, with_stats
+from .quality_rules import BLOCK, STATS, with_stats
 from .trees import RuleModel, fit_rules
 
 #: Labelled rows of each class that are learned from at most.
@@ -33,7 +33,7 @@ def features(prefix: str) -> list[Column]:
         c["n_repeat_words"] / n,
         c["n_upper"] / F.greatest(c["word_chars"], F.lit(1.0)),
         c["n_runs"] / n,
-        c["n_distinct"] / F.least(n, F.lit(400.0)),
+        c["n_distinct"] / F.least(n, F.lit(float(BLOCK))),
         c["n_words"] / F.greatest(c["n_lines"], F.lit(1.0)),
     ]
 

@@ -18,6 +18,8 @@ from ._common import UPPER, WS, words, written
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
+#: Words of a block in which variety is counted.
+BLOCK = 400
 
 RULE_NAMES = ["length", "symbols", "dup_lines", "repeated", "word_chars", "upper", "runs", "variety"]
 #: The statistics that ``with_stats`` adds.
@@ -26,7 +28,8 @@ STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
 
 def with_stats(docs: DataFrame, text_col: str, prefix: str = "") -> DataFrame:
     """docs with STATS as longs, names after prefix. Null texts count as empty. Word windows are compared by a
-    64-bit hash within one text."""
+    64-bit hash within one text. n_distinct is the mean number of distinct words, rounded down, of the blocks of
+    BLOCK words that cover the whole text; the last one ends with it and may overlap the one before."""
     w, x = "__hs_words", "__hs_"
     text = F.coalesce(F.col(text_col), F.lit(""))
     df = docs.withColumn(w, words(F.col(text_col))).withColumn(x + "lines", F.filter(F.split(text, "\n", -1), lambda s: F.btrim(s, F.lit(WS)) != ""))
@@ -43,6 +46,8 @@ def with_stats(docs: DataFrame, text_col: str, prefix: str = "") -> DataFrame:
     start = F.struct(F.lit(0).alias("n"), F.lit(-WINDOW).alias("last"))
     covered = F.aggregate(x + "p", start, lambda a, i: F.struct((a["n"] + F.least(F.lit(WINDOW), i - a["last"])).alias("n"), i.alias("last")), lambda a: a["n"])
     runs = F.size(F.filter(h, lambda v, i: F.get(h, i - 1) == v))
+    blocks = F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(BLOCK))
+    distinct = F.transform(blocks, lambda i: F.size(F.array_distinct(F.slice(h, F.least(i, F.greatest(n - BLOCK, F.lit(0))) + 1, BLOCK))))
     stats = {
         "n_words": n,
         "word_chars": F.length(F.translate(text, WS, "")),
@@ -52,7 +57,7 @@ def with_stats(docs: DataFrame, text_col: str, prefix: str = "") -> DataFrame:
         "n_lines": F.size(x + "lines"),
         "n_upper": F.length(text) - F.length(F.translate(text, UPPER, "")),
         "n_runs": runs,
-        "n_distinct": F.size(F.array_distinct(F.slice(h, 1, 400))),
+        "n_distinct": F.floor(F.aggregate(distinct, F.lit(0).cast("long"), lambda a, k: a + k) / F.size(blocks)),
     }
     return df.select(*docs.columns, *(e.cast("long").alias(prefix + k) for k, e in stats.items()))
 
@@ -73,7 +78,7 @@ def rules(prefix: str) -> list[tuple[Column, Column]]:
         ((c["word_chars"] < 2.5 * n) | (c["word_chars"] > 14 * n), c["word_chars"].between(3 * n, 10 * n)),
         (c["n_upper"] > 0.4 * c["word_chars"], c["n_upper"] <= 0.15 * c["word_chars"]),
         (c["n_runs"] > 0.2 * n, (n >= 20) & (c["n_runs"] <= 0.02 * n)),
-        (full & (c["n_distinct"] < 0.2 * F.least(n, F.lit(400))), full & (c["n_distinct"] > 0.4 * F.least(n, F.lit(400)))),
+        (full & (c["n_distinct"] < 0.2 * F.least(n, F.lit(BLOCK))), full & (c["n_distinct"] > 0.4 * F.least(n, F.lit(BLOCK)))),
     ]
 
 

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 
 import brute
 from prose import prose
@@ -83,3 +84,18 @@ def test_em_prefers_what_agrees():
     assert model.posterior(good)[0] > 0.9 > 0.5 > model.posterior(odd)[0]
     assert hashlib.sha256(repr(model).encode()).digest() == hashlib.sha256(repr(quality_rules.fit_votes({good: 900, odd: 100})).encode()).digest()
     assert quality_rules.fit_votes({}).share[0] > 0.5
+
+
+def test_variety_is_of_the_whole_text(docs):
+    r = random.Random(4)
+    rich = lambda k: [f"{w}{r.randrange(60)}" for w in prose(k, 9).split()]
+    poor = lambda k: [r.choice("red ten box hat cup pen mat jar fox owl ivy elk".split()) for _ in range(k)]
+    texts = {i: rich(400) + poor(4000) for i in range(10, 25)} | {1: rich(400) + poor(4000), 2: poor(400) + rich(4000), 3: rich(400), 4: poor(400), 5: rich(401), 6: rich(790) + poor(10), 7: rich(60)}
+    rows = [(i, " ".join(w)) for i, w in texts.items()] + [(8, None), (9, "")]
+    got = {x["doc_id"]: x for x in quality_rules.judged(docs(rows + [(100 + i, prose(80 + i, i)) for i in range(60)]), carry=["doc_id"])[0].collect()}
+    for i, w in texts.items():
+        blocks = [w[min(b, max(0, len(w) - 400)) :][:400] for b in range(0, len(w), 400)]
+        assert got[i]["__hs_n_distinct"] == sum(len(set(b)) for b in blocks) // len(blocks)
+    assert got[8]["__hs_n_distinct"] == got[9]["__hs_n_distinct"] == 0
+    # Junk after ordinary words isn't kept, ordinary words after a list are.
+    assert not any(got[i]["__hs_kept"] for i in (1, *range(10, 25))) and got[2]["__hs_kept"]
