@@ -18,6 +18,12 @@ from ._common import words
 from .trees import column, forest
 
 SHORTEST = 12
+#: A candidate; = at its end is padding unless a value follows.
+RUN = f"[A-Za-z0-9+/_-]{{{SHORTEST},}}+(?:={{1,2}}(?![A-Za-z0-9+/_=-]))?"
+#: What separates the parts of a word that have nothing to do with each other.
+BREAKS = "[,;&?@|<>(){}\\[\\]]"
+#: Characters of the words before and after that are looked at.
+NEAR = 200
 #: Words that are found within identifiers and prose, of four letters or more.
 DICTIONARY = (
     "about account action address after agent alpha application archive array background banner basic before between block board body border branch browser buffer build button "
@@ -44,14 +50,18 @@ def _count(c: Column, pattern: str) -> Column:
     return F.size(F.split(c, pattern, -1)) - 1
 
 
-def features(candidate: Column, word: Column, before: Column, after: Column) -> list[Column]:
-    """FEATURES of a candidate within its word and between the words before and after it."""
+def features(candidate: Column, word: Column, before: Column, after: Column, left: Column | None = None) -> list[Column]:
+    """FEATURES of a candidate within its word and between the words before and after it. left: what stands before it
+    in the word, by default what stands before its first occurrence."""
     n = F.greatest(F.length(candidate), F.lit(1)).cast("double")
     low = F.lower(candidate)
     kinds = F.translate(candidate, string.ascii_lowercase + string.ascii_uppercase + string.digits, "a" * 26 + "A" * 26 + "0" * 10)
     turns = F.length(kinds) - F.length(F.regexp_replace(kinds, "(?<=a)[A0]|(?<=A)[a0]|(?<=0)[aA]", ""))
+    left = F.call_function("substring_index", word, candidate, F.lit(1)) if left is None else left
+    # The value that the candidate belongs to: what follows the last = or : before it.
+    value = F.concat(F.substring_index(F.translate(left, "=", ":"), ":", -1), F.substring(word, F.length(left) + 1, F.length(word)))
     around = F.lower(F.concat_ws(" ", before, word, after))
-    lead = F.lower(F.concat_ws(" ", before, F.call_function("substring_index", word, candidate, F.lit(1))))
+    lead = F.concat_ws(" ", before, left)
     flag = lambda c: c.cast("double")
     out = [
         n,
@@ -62,10 +72,10 @@ def features(candidate: Column, word: Column, before: Column, after: Column) ->
         flag(candidate.rlike("^[0-9a-fA-F-]+$")),
         _count(low, PAIRS) / n,
         1 - F.length(F.regexp_replace(low, "|".join(sorted(DICTIONARY, key=len, reverse=True)), "")) / n,
-        flag(word.rlike("://|^[./~]|/.*/|\\.[a-z]{2,4}$")),
-        flag(lead.rlike(KEYWORDS)),
+        flag(value.rlike("^[\"']?[./~]|/.*/|\\.[a-z]{2,4}$")),
+        flag(F.lower(lead).rlike(KEYWORDS)),
         flag(around.rlike(OTHERWISE)),
-        flag(F.concat_ws(" ", before, F.call_function("substring_index", word, candidate, F.lit(1))).rlike("[=:]\\s*[\"']?$")),
+        flag(lead.rlike("[=:]\\s*[\"']?$")),
         flag(candidate.rlike("(.)\\1{4,}|(?:0123|1234|abcd|ABCD){1}")),
         (n - F.length(F.translate(candidate, "-_", ""))) / n,
     ]
@@ -73,17 +83,26 @@ def features(candidate: Column, word: Column, before: Column, after: Column) ->
 
 
 def findings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, position, candidate, word, before, after): words of at least SHORTEST characters that hold as many
-    key characters in a row, with a digit or all in upper case; position counts words from 0."""
-    pattern = f"[A-Za-z0-9+/_-]{{{SHORTEST},}}={{0,2}}"
+    """(doc_id, position, run, candidate, word, left, before, after): every run of at least SHORTEST key characters in
+    words with a digit or as many capitals in a row.
+
+    position counts words from 0, run the candidates of a word. word is the part of the word between BREAKS that
+    holds the candidate, no further than the runs next to it; left is what stands before the candidate in there.
+    Before and after are at most NEAR characters: context only, since a long word has many candidates."""
     rows = docs.select(F.col(id_col).alias("doc_id"), words(F.col(text_col)).alias("w"))
     w = F.col("w")
-    maybe = lambda x: (F.length(x) >= SHORTEST) & (x.rlike("[0-9]") | x.rlike(f"[A-Z]{{{SHORTEST},}}")) & x.rlike(pattern)
+    maybe = lambda x: (F.length(x) >= SHORTEST) & (x.rlike("[0-9]") | x.rlike(f"[A-Z]{{{SHORTEST},}}")) & x.rlike(RUN)
     places = F.filter(F.transform(w, lambda x, i: F.when(maybe(x), i)), lambda i: i.isNotNull())
-    near = lambda i: F.struct(i.alias("position"), F.get(w, i).alias("word"), F.concat_ws(" ", F.get(w, i - 2), F.get(w, i - 1)).alias("before"), F.coalesce(F.get(w, i + 1), F.lit("")).alias("after"))
+    before = lambda i: F.concat_ws(" ", F.get(w, i - 2), F.get(w, i - 1))
+    near = lambda i: F.struct(i.alias("position"), F.get(w, i).alias("word"), F.right(before(i), F.lit(NEAR)).alias("before"), F.left(F.coalesce(F.get(w, i + 1), F.lit("")), F.lit(NEAR)).alias("after"))
     found = rows.select("doc_id", "w", places.alias("at")).where(F.size("at") > 0).select("doc_id", F.explode(F.transform("at", near)).alias("f")).select("doc_id", "f.*")
-    # Of several runs in a word the last one is taken: what stands before it is a name.
-    return found.withColumn("candidate", F.element_at(F.regexp_extract_all("word", F.lit(f"({pattern})"), F.lit(1)), -1))
+    # The runs of a word, and what stands between them: one piece more.
+    found = found.withColumn("runs", F.regexp_extract_all("word", F.lit(f"({RUN})"), F.lit(1))).withColumn("pieces", F.split("word", RUN, -1))
+    run, piece = lambda k: F.coalesce(F.get("runs", k), F.lit("")), lambda k: F.coalesce(F.get("pieces", k), F.lit(""))
+    own = lambda c, k: F.struct(k.alias("run"), c.alias("candidate"), F.concat(piece(k - 1), run(k - 1), piece(k)).alias("left"), F.concat(piece(k + 1), run(k + 1), piece(k + 2)).alias("right"))
+    found = found.select("doc_id", "position", "before", "after", F.explode(F.transform("runs", own)).alias("f")).select("doc_id", "position", "before", "after", "f.*")
+    found = found.withColumn("left", F.element_at(F.split("left", BREAKS, -1), -1)).withColumn("right", F.element_at(F.split("right", BREAKS, -1), 1))
+    return found.select("doc_id", "position", "run", "candidate", F.concat("left", "candidate", "right").alias("word"), "left", "before", "after")
 
 
 def labelled_findings(n: int = 1500, seed: int = 11) -> list[tuple[str, str, str, str, int]]:
@@ -145,15 +164,16 @@ def learned(spark: SparkSession, labelled: list[tuple[str, str, str, str, int]],
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", labelled: list[tuple[str, str, str, str, int]] | None = None) -> DataFrame:
-    """(doc_id, position, candidate, before, after, score, is_secret) for each candidate of each row of docs.
+    """(doc_id, position, run, candidate, before, after, score, is_secret) for each candidate of each row of docs.
 
     labelled: findings (candidate, word, before, after, label) to learn from, ``labelled_findings()`` by default.
 
     * Null and empty texts have no candidates; rows with a null id are reported with it; repeated rows are each.
-    * A word of any length is one candidate at most, the last in it.
+    * All candidates of a word are scored, each with what stands beside it.
     """
     score = learned(docs.sparkSession, labelled_findings() if labelled is None else labelled)
     found = findings(docs, id_col, text_col)
-    own = [f.alias(f"__hs_{n}") for n, f in zip(FEATURES, features(F.col("candidate"), F.col("word"), F.col("before"), F.col("after")), strict=True)]
-    scored = found.select("doc_id", "position", "candidate", "before", "after", *own).select("doc_id", "position", "candidate", "before", "after", score.alias("score"))
+    own = [f.alias(f"__hs_{n}") for n, f in zip(FEATURES, features(*(F.col(c) for c in ("candidate", "word", "before", "after", "left"))), strict=True)]
+    names = ["doc_id", "position", "run", "candidate", "before", "after"]
+    scored = found.select(*names, *own).select(*names, score.alias("score"))
     return scored.withColumn("is_secret", F.col("score") >= 0.5)
