@@ -1,6 +1,6 @@
 """Secret scans (operator 2), DataFrame functions only.
 
-Long words with the characters of keys are candidates. Features of each (length, character transitions, coverage by
+Long runs of the characters of keys, and short ones after a keyword, are candidates. Features of each (length, character transitions, coverage by
 dictionary words, paths, the words before and after) go through a random forest that is learned from labelled
 findings and compiled into one column expression, which removes the false positives. Nothing is shuffled.
 """
@@ -19,7 +19,8 @@ from .trees import column, forest
 
 SHORTEST = 12
 #: A candidate; = at its end is padding unless a value follows.
-RUN = f"[A-Za-z0-9+/_-]{{{SHORTEST},}}+(?:={{1,2}}(?![A-Za-z0-9+/_=-]))?"
+KEY = "[A-Za-z0-9+/_-]"
+RUN = f"{KEY}{{{SHORTEST},}}+(?:={{1,2}}(?![A-Za-z0-9+/_=-]))?"
 #: What separates the parts of a word that have nothing to do with each other.
 BREAKS = "[,;&?@|<>(){}\\[\\]]"
 #: Characters of the words before and after that are looked at.
@@ -42,6 +43,9 @@ KEYWORDS = "token|secret|passw|pwd|api.?key|apikey|access.?key|auth|bearer|crede
 OTHERWISE = "example|sample|dummy|placeholder|changeme|your|xxxx|commit|sha1|sha256|md5|checksum|digest|uuid|guid|hash|version|image|path|url|href|file|revision"
 #: Frequent pairs of letters.
 PAIRS = "th|he|in|er|an|re|on|at|en|nd|ti|es|or|te|of|ed|is|it|al|ar|st|to|nt|ng|se|ha|as|ou|io|le|ve|co|me|de|hi|ri|ro|ic|ne|ea|ra|ce|li|ch|ll|be|ma|si|om|ur"
+#: What leads to a value, and a shorter run after that.
+LEAD = f"(?i:{KEYWORDS})[A-Za-z0-9_-]{{0,24}}[\"']{{0,1}}[ ]{{0,1}}[=:]"
+SHORT = f"(?<=[=:][\"']{{0,1}})(?<={LEAD}[\"']{{0,1}}){KEY}+"
 
 FEATURES = ["length", "transitions", "distinct", "digits", "upper", "hex", "pairs", "dictionary", "path", "keyword", "otherwise", "assigned", "repeated", "dashes"]
 
@@ -83,21 +87,24 @@ def features(candidate: Column, word: Column, before: Column, after: Column, lef
 
 
 def findings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, position, run, candidate, word, left, before, after): every run of at least SHORTEST key characters in
-    words with a digit or as many capitals in a row.
+    """(doc_id, position, run, candidate, word, left, before, after): every run of at least SHORTEST key characters,
+    and shorter ones right after one of KEYWORDS and = or :, in the word or at the end of the one before.
 
     position counts words from 0, run the candidates of a word. word is the part of the word between BREAKS that
     holds the candidate, no further than the runs next to it; left is what stands before the candidate in there.
     Before and after are at most NEAR characters: context only, since a long word has many candidates."""
+    w, gap = F.col("w"), lambda n: F.array(*[F.lit(None).cast("string")] * n)
+    # Each word beside its neighbours, so that no lambda holds the whole text, which would be split anew for each word.
     rows = docs.select(F.col(id_col).alias("doc_id"), words(F.col(text_col)).alias("w"))
-    w = F.col("w")
-    maybe = lambda x: (F.length(x) >= SHORTEST) & (x.rlike("[0-9]") | x.rlike(f"[A-Z]{{{SHORTEST},}}")) & x.rlike(RUN)
-    places = F.filter(F.transform(w, lambda x, i: F.when(maybe(x), i)), lambda i: i.isNotNull())
-    before = lambda i: F.concat_ws(" ", F.get(w, i - 2), F.get(w, i - 1))
-    near = lambda i: F.struct(i.alias("position"), F.get(w, i).alias("word"), F.right(before(i), F.lit(NEAR)).alias("before"), F.left(F.coalesce(F.get(w, i + 1), F.lit("")), F.lit(NEAR)).alias("after"))
-    found = rows.select("doc_id", "w", places.alias("at")).where(F.size("at") > 0).select("doc_id", F.explode(F.transform("at", near)).alias("f")).select("doc_id", "f.*")
+    rows = rows.select("doc_id", "w", F.concat(gap(1), w).alias("p"), F.concat(gap(2), w).alias("q"), F.slice(w, F.lit(2), F.size(w)).alias("n"))
+    maybe = lambda c: (F.length(c["w"]) >= SHORTEST) & c["w"].rlike(RUN) | c["w"].rlike("[=:]") & c["w"].rlike(SHORT) | F.coalesce(c["p"].rlike("[=:]$"), F.lit(False))
+    near = lambda c, i: F.struct(i.alias("position"), c["w"].alias("word"), F.right(F.concat_ws(" ", c["q"], c["p"]), F.lit(NEAR)).alias("before"), F.left(F.coalesce(c["n"], F.lit("")), F.lit(NEAR)).alias("after"))
+    places = F.filter(F.transform(F.arrays_zip("w", "p", "q", "n"), lambda c, i: F.when(c["w"].isNotNull() & maybe(c), near(c, i))), lambda f: f.isNotNull())
+    found = rows.select("doc_id", F.explode(places).alias("f")).select("doc_id", "f.*")
+    led = F.col("before").rlike(f"{LEAD}$")
+    found = found.withColumn("pattern", F.when(led, f"{RUN}|{SHORT}|(?<=^[\"'(]{{0,1}}){KEY}+").otherwise(f"{RUN}|{SHORT}"))
     # The runs of a word, and what stands between them: one piece more.
-    found = found.withColumn("runs", F.regexp_extract_all("word", F.lit(f"({RUN})"), F.lit(1))).withColumn("pieces", F.split("word", RUN, -1))
+    found = found.withColumn("runs", F.regexp_extract_all("word", "pattern", F.lit(0))).withColumn("pieces", F.split("word", F.col("pattern"), -1))
     run, piece = lambda k: F.coalesce(F.get("runs", k), F.lit("")), lambda k: F.coalesce(F.get("pieces", k), F.lit(""))
     own = lambda c, k: F.struct(k.alias("run"), c.alias("candidate"), F.concat(piece(k - 1), run(k - 1), piece(k)).alias("left"), F.concat(piece(k + 1), run(k + 1), piece(k + 2)).alias("right"))
     found = found.select("doc_id", "position", "before", "after", F.explode(F.transform("runs", own)).alias("f")).select("doc_id", "position", "before", "after", "f.*")
@@ -111,16 +118,17 @@ def labelled_findings(n: int = 1500, seed: int = 11) -> list[tuple[str, str, str
     pick = lambda chars, k: "".join(r.choice(chars) for _ in range(k))
     hexa, b64, caps = "0123456789abcdef", string.ascii_letters + string.digits + "+/", string.ascii_uppercase + "234567"
     plain = lambda k: " ".join(r.choice(DICTIONARY) for _ in range(k))
+    english = lambda: "".join(r.choice(PAIRS.split("|")) for _ in range(r.randint(4, 9)))
     out = []
     for _ in range(n):
         name = r.choice(["token", "secret", "password", "api_key", "apikey", "auth_token", "access_key", "client_secret", "passwd"])
-        kind = r.randrange(6)
-        value = [lambda: "AKIA" + pick(caps + "0189", 16), lambda: "ghp_" + pick(string.ascii_letters + string.digits, 36), lambda: pick(hexa, r.choice([16, 18, 20, 32, 40, 64])), lambda: pick(b64, r.choice([24, 32, 40, 44])), lambda: "sk_live_" + pick(string.ascii_letters + string.digits, 24), lambda: pick(string.ascii_letters + string.digits, r.choice([16, 20, 32]))][kind]()
+        kind = r.randrange(8)
+        value = [lambda: "AKIA" + pick(caps + "0189", 16), lambda: "ghp_" + pick(string.ascii_letters + string.digits, 36), lambda: pick(hexa, r.choice([16, 18, 20, 32, 40, 64])), lambda: pick(b64, r.choice([24, 32, 40, 44])), lambda: "sk_live_" + pick(string.ascii_letters + string.digits, 24), lambda: pick(string.ascii_letters + string.digits, r.choice([16, 20, 32])), lambda: pick(r.choice([string.ascii_letters, string.ascii_lowercase]), r.randint(9, 24)), lambda: r.choice(DICTIONARY).capitalize() + str(r.randrange(10, 10**4)) + pick(string.ascii_letters + string.digits, r.randint(0, 4))][kind]()
         form = r.randrange(4) if kind in (0, 1, 4) else r.randrange(1, 4)
         word, before = [(value, plain(2)), (f'"{value}"', f"{name} ="), (f"{name}={value}", plain(2)), (f"{value}", f"{r.choice(DICTIONARY)} {name}:")][form]
         out.append((value, word, before, plain(1), 1))
     for _ in range(n):
-        kind = r.randrange(9)
+        kind = r.randrange(12)
         if kind == 0:
             value = f"{pick(hexa, 8)}-{pick(hexa, 4)}-{pick(hexa, 4)}-{pick(hexa, 4)}-{pick(hexa, 12)}"
             word, before = value, r.choice(["with id", "uuid is", "request uuid", plain(2)])
@@ -145,6 +153,13 @@ def labelled_findings(n: int = 1500, seed: int = 11) -> list[tuple[str, str, str
         elif kind == 7:
             value = r.choice(DICTIONARY) + "-" + r.choice(DICTIONARY) + f"-{r.randrange(10)}-{r.randrange(10)}-{r.randrange(100)}"
             word, before = value, r.choice(["version of", plain(2)])
+        elif kind == 8:
+            value = r.choice([english() + r.choice(["", "s", "ing"]), english().capitalize(), r.choice(DICTIONARY) + "-" + english(), "".join(r.choice(DICTIONARY).capitalize() for _ in range(r.randint(2, 4))), "_".join(r.choice(DICTIONARY) for _ in range(r.randint(2, 4))), r.choice("-_=") * r.randint(12, 60)])
+            word, before = value + r.choice(["", ",", ".", ")", "="]), r.choice([plain(2), plain(1) + " ="])
+        elif kind in (9, 10):
+            value = r.choice([r.choice(DICTIONARY), r.choice(DICTIONARY).capitalize(), r.choice(["a", "is", "no", "not", "if", "The", "yes", "null", "None", "1", "0", "12"]), english(), english().capitalize(), r.choice(DICTIONARY) + "_" + r.choice(DICTIONARY), r.choice(DICTIONARY) + r.choice(DICTIONARY).capitalize()])
+            name = r.choice(["token", "secret", "password", "api_key", "auth", "author", "signature", "passwd"])
+            word, before = [(f"{name}={value}", plain(2)), (value, f"{r.choice(DICTIONARY)} {name}:"), (f'"{value}"', f"{name} =")][r.randrange(3)]
         else:
             value = "".join(r.choice(PAIRS.split("|")) for _ in range(r.randint(6, 14)))
             value = r.choice([value.upper(), value + str(r.randrange(10, 100))])

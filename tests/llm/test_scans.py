@@ -73,3 +73,14 @@ def test_all_secrets_of_a_word_are_found(docs):
     found = [r for r in secrets.scan(docs(rows)).collect() if r["is_secret"]]
     assert {(r["doc_id"], r["candidate"]) for r in found} == {(1, aws), (1, git), (2, hexa), (3, hexa), (4, hexa), (5, aws)}
     assert len({(r["position"], r["run"]) for r in found if r["doc_id"] == 4}) == 500 and sum(r["doc_id"] == 5 for r in found) == 2
+
+
+def test_secrets_without_digits_and_short_ones_are_scored(docs):
+    rows = [
+        (1, f"{prose(9, 1)} password=QwErTyUiOpAsDfGhJk {prose(3, 2)}"), (2, "password=Hunter2x9"), (3, "the password: Hunter2x9 then"), (4, '"secret" = "Garden4417" and'), (5, '{"page":"x","password":"Market93kQ"}'),
+        (6, "api_key=qzkvjxwpmtbdhqkz"), (7, "Keep it secret: always write the telecommunications departments password: required"), (8, prose(300, 3)), (9, "some Hunter2x9 value=Hunter2x9"),
+        (10, "internationalization_of_documents getResourceFromServiceTemplate understandingly -------------------- {'token': None}"),
+    ]
+    found = secrets.scan(docs(rows)).collect()
+    assert {(r["doc_id"], r["candidate"]) for r in found if r["is_secret"]} == {(1, "QwErTyUiOpAsDfGhJk"), (2, "Hunter2x9"), (3, "Hunter2x9"), (4, "Garden4417"), (5, "Market93kQ"), (6, "qzkvjxwpmtbdhqkz")}
+    assert {"always", "required", "telecommunications"} <= {r["candidate"] for r in found} and not [r for r in found if r["doc_id"] == 9]
