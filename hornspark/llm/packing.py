@@ -22,8 +22,8 @@ from ._common import fresh_path
 
 #: Fixed value: the split pattern of the byte-level BPE vocabularies.
 SPLIT = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Words kept with their ids by one Python worker.
-KEPT_WORDS = 300_000
+#: Words kept with their ids by one Python worker, and the longest that are kept: some 40 MB at most.
+KEPT_WORDS, KEPT_LENGTH = 200_000, 32
 #: Bytes of ids in one Arrow batch.
 BATCH_BYTES = 16_000_000
 
@@ -36,7 +36,8 @@ def byte_alphabet() -> dict[str, int]:
 
 
 class WordEncoder(dict):
-    """Ids of a byte-level BPE file, equal to those of the tokenizers library with special tokens as plain text.
+    """Ids of a byte-level BPE file, equal to those of the tokenizers library without special tokens added: the
+    file's added tokens are cut out of a text wherever they stand in it, what is between them is encoded alone.
 
     The split pattern never joins what is before a single space between two non-space characters to what is
     after it, so texts are cut there and the ids of each word, with its space, are kept."""
@@ -49,21 +50,33 @@ class WordEncoder(dict):
         super().__init__()
         with open(path, encoding="utf-8") as f:
             model = json.load(f)
-        spelled, special = byte_alphabet(), {t["content"] for t in model["added_tokens"]}
+        added = model["added_tokens"]
+        if odd := [t["content"] for t in added if t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"]]:
+            raise ValueError(f"added tokens that take more than their own text aren't supported: {odd}")
+        spelled, special = byte_alphabet(), {t["content"]: t["id"] for t in added}
         ranks = {bytes(spelled[c] for c in token): i for token, i in model["model"]["vocab"].items() if token not in special}
-        self.kind = np.dtype("<u2" if max(ranks.values()) < 65536 else "<u4")
+        self.kind = np.dtype("<u2" if max([*ranks.values(), *special.values()]) < 65536 else "<u4")
+        self.special = {t: np.array([i], self.kind).tobytes() for t, i in special.items()}
+        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
         self.bpe = tiktoken.Encoding("file", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= KEPT_WORDS:
-            self.clear()
-        ids = self[word] = self.plain(" " + word)
+        ids = self.plain(" " + word)
+        if len(word) <= KEPT_LENGTH:
+            if len(self) >= KEPT_WORDS:
+                self.clear()
+            self[word] = ids
         return ids
 
     def plain(self, text: str) -> bytes:
         return np.array(self.bpe.encode_ordinary(text), self.kind).tobytes()
 
     def encode(self, text: str) -> bytes:
+        if self.cut is not None and len(parts := self.cut.split(text)) > 1:
+            return b"".join(self.special[p] if k % 2 else self.words(p) for k, p in enumerate(parts))
+        return self.words(text)
+
+    def words(self, text: str) -> bytes:
         if text.startswith(" ") or text.endswith(" ") or self.ODD.search(text):
             return self.plain(text)
         first, *rest = text.split(" ")
@@ -124,8 +137,8 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     """Pieces (doc_id, start, length, ids, doc_tokens, sequence_id, offset) of all rows of docs; ids is binary,
     little-endian unsigned 32-bit.
 
-    tokenizer: path of a byte-level BPE file in the tokenizers library's format, on every machine. Each row's
-    ids are followed by eos. Sequences are full but for the very last one, which is shorter; padding it to
+    tokenizer: path of a byte-level BPE file in the tokenizers library's format, on every machine. The text of an
+    added token, such as an end-of-text mark, gives its id, as in the library. Each row's ids are followed by eos. Sequences are full but for the very last one, which is shorter; padding it to
     length, or leaving it where its size is a power of two, is up to the reader and takes no piece.
 
     * Null and empty texts are the eos alone; null ids stay null.

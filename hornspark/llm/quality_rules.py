@@ -1,16 +1,21 @@
 """Quality rules (operator 5), DataFrame functions only.
 
 Rules over text statistics vote good, bad or abstain. How often each pattern of votes occurs is counted over
-all documents (at most 3 ** 8 patterns, whatever the input), expectation-maximisation over those counts
-estimates each rule's accuracies and the share of good documents, and the posterior, compiled into one column
-expression, decides. Texts are read once; nothing is shuffled but the pattern counts.
+all documents (at most 3 ** 10 patterns, whatever the input), expectation-maximisation over those counts estimates
+how the rules vote on each latent kind of document, and the posterior, compiled into one column expression,
+decides. Texts are read once; nothing is shuffled but the pattern counts.
+
+The accuracies are free: there is one kind of document to begin with for each rule, the documents it alone votes
+bad, and one for the rest, and the data says which rules vote together. A kind is bad where two rules at least
+vote bad on it, much more often than on the rest; a rule that nothing else agrees with is taken for noisy, and the
+documents that it alone condemns are kept.
 """
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,15 +26,23 @@ WINDOW = 8
 #: Words of a block in which variety is counted.
 BLOCK = 400
 
-RULE_NAMES = ["length", "symbols", "dup_lines", "repeated", "word_chars", "upper", "runs", "variety"]
+RULE_NAMES = ["length", "symbols", "dup_lines", "repeated", "word_chars", "upper", "runs", "variety", "marked", "function"]
 #: The statistics that ``with_stats`` adds.
-STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_runs", "n_distinct"]
+STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_runs", "n_distinct", "n_marked", "n_function"]
+#: Frequent function words of English, German, French and Spanish.
+FUNCTION_WORDS = (
+    "a an and are as at be by for from in is it not of on or that the this to was with "
+    "als auch auf das dem den der die ein eine es für ich im ist mit nicht sich sie und von zu "
+    "au avec ce dans des du en est et il la le les ne pas par pour que qui sur un une "
+    "al con del el las los no para por se su y"
+).split()
 
 
 def with_stats(docs: DataFrame, text_col: str, prefix: str = "") -> DataFrame:
     """docs with STATS as longs, names after prefix. Null texts count as empty. Word windows are compared by a
     64-bit hash within one text. n_distinct is the mean number of distinct words, rounded down, of the blocks of
-    BLOCK words that cover the whole text; the last one ends with it and may overlap the one before."""
+    BLOCK words that cover the whole text; the last one ends with it and may overlap the one before. n_marked counts
+    words with a symbol or digit, n_function FUNCTION_WORDS, in lower case or with an initial capital."""
     w, x = "__hs_words", "__hs_"
     text = F.coalesce(F.col(text_col), F.lit(""))
     df = docs.withColumn(w, words(F.col(text_col))).withColumn(x + "lines", F.filter(F.split(text, "\n", -1), lambda s: F.btrim(s, F.lit(WS)) != ""))
@@ -46,6 +59,7 @@ def with_stats(docs: DataFrame, text_col: str, prefix: str = "") -> DataFrame:
     start = F.struct(F.lit(0).alias("n"), F.lit(-WINDOW).alias("last"))
     covered = F.aggregate(x + "p", start, lambda a, i: F.struct((a["n"] + F.least(F.lit(WINDOW), i - a["last"])).alias("n"), i.alias("last")), lambda a: a["n"])
     runs = F.size(F.filter(h, lambda v, i: F.get(h, i - 1) == v))
+    function = [F.xxhash64(F.lit(x)) for v in FUNCTION_WORDS for x in (v, v.capitalize())]
     blocks = F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(BLOCK))
     distinct = F.transform(blocks, lambda i: F.size(F.array_distinct(F.slice(h, F.least(i, F.greatest(n - BLOCK, F.lit(0))) + 1, BLOCK))))
     stats = {
@@ -58,6 +72,8 @@ def with_stats(docs: DataFrame, text_col: str, prefix: str = "") -> DataFrame:
         "n_upper": F.length(text) - F.length(F.translate(text, UPPER, "")),
         "n_runs": runs,
         "n_distinct": F.floor(F.aggregate(distinct, F.lit(0).cast("long"), lambda a, k: a + k) / F.size(blocks)),
+        "n_marked": F.size(F.filter(w, lambda v: v.rlike("[0-9#*$%&|<>]"))),
+        "n_function": F.size(F.filter(h, lambda v: v.isin(function))),
     }
     return df.select(*docs.columns, *(e.cast("long").alias(prefix + k) for k, e in stats.items()))
 
@@ -79,6 +95,8 @@ def rules(prefix: str) -> list[tuple[Column, Column]]:
         (c["n_upper"] > 0.4 * c["word_chars"], c["n_upper"] <= 0.15 * c["word_chars"]),
         (c["n_runs"] > 0.2 * n, (n >= 20) & (c["n_runs"] <= 0.02 * n)),
         (full & (c["n_distinct"] < 0.2 * F.least(n, F.lit(BLOCK))), full & (c["n_distinct"] > 0.4 * F.least(n, F.lit(BLOCK)))),
+        (c["n_marked"] > 0.3 * n, c["n_marked"] <= 0.1 * n),
+        (full & (c["n_function"] < 0.05 * n), c["n_function"] > 0.1 * n),
     ]
 
 
@@ -87,61 +105,76 @@ def votes_of(prefix: str) -> list[Column]:
     return [F.when(bad, 0).when(good, 2).otherwise(1) for bad, good in rules(prefix)]
 
 
+#: Documents that the prior of a kind's votes weighs.
+STRENGTH = 0.5
+#: How much more often than on good documents a rule votes bad on a kind that it speaks against.
+LIFT = 0.5
+
+
 @dataclass
 class LabelModel:
-    """What EM found. Class 0 is good; class j + 1 is the kind of bad that rule j was set to catch.
+    """Kinds of documents. Kind 0 are the documents most rules find good, kind j + 1 began as those rule j votes bad.
+
+    share: of each kind; fails: for each kind and rule, how likely its vote, if there is one, is bad."""
 
-    share: of each class; passes: for each class and rule, how likely a vote, if there is one, is good."""
+    share: np.ndarray
+    fails: np.ndarray
 
-    share: list[float]
-    passes: list[list[float]]
+    @property
+    def bad(self) -> np.ndarray:
+        """Whether each kind is bad: at least two rules vote bad on it much more often than on kind 0."""
+        return (self.fails - self.fails[0] > LIFT).sum(axis=1) >= 2
 
-    def terms(self, c: int) -> list[tuple[float, float]]:
-        """For each rule, what a bad and a good vote add to the log likelihood of class c."""
-        return [(math.log(1 - p), math.log(p)) for p in self.passes[c]]
+    def posterior(self, votes: np.ndarray) -> np.ndarray:
+        """P(kind | votes) for rows of votes."""
+        logs = np.log(self.share) + (votes == 0) @ np.log(self.fails).T + (votes == 2) @ np.log1p(-self.fails).T
+        odds = np.exp(logs - logs.max(axis=1, keepdims=True))
+        return odds / odds.sum(axis=1, keepdims=True)
 
-    def posterior(self, votes: tuple[int, ...]) -> list[float]:
-        logs = [math.log(s) + sum(t[v // 2] for t, v in zip(self.terms(c), votes, strict=True) if v != 1) for c, s in enumerate(self.share)]
-        odds = [math.exp(x - max(logs)) for x in logs]
-        return [x / sum(odds) for x in odds]
+    def good(self, votes: np.ndarray) -> np.ndarray:
+        """P(good | votes) for rows of votes."""
+        return self.posterior(votes)[:, ~self.bad].sum(axis=1)
 
     def quality(self, votes: list[Column]) -> Column:
-        """P(good | votes) as a column: 1 / (1 + the odds of each kind of bad against good)."""
-        good, against = self.terms(0), []
-        for c in range(1, len(self.share)):
-            odds = F.lit(math.log(self.share[c] / self.share[0]))
-            for v, bad_term, good_term in zip(votes, self.terms(c), good, strict=True):
-                odds = odds + F.when(v == 0, bad_term[0] - good_term[0]).when(v == 2, bad_term[1] - good_term[1]).otherwise(0.0)
-            against.append(F.exp(F.least(odds, F.lit(500.0))))
-        return 1 / (1 + sum(against[1:], against[0]))
-
-
-def fit_votes(counts: dict[tuple[int, ...], int], rounds: int = 80, strength: float = 20.0) -> LabelModel:
-    """EM over counted vote patterns; priors weigh strength documents each.
-
-    Good documents pass each rule with prior 0.99 and at least 0.98, a kind of bad its own rule with prior 0.1
-    and at most 0.3, other rules with prior 0.95. So the classes keep their meaning, and a kind of bad that only
-    one rule can see isn't outvoted by rules that look at something else."""
+        """The same as a column: 1 / (1 + the odds of bad kinds against the others)."""
+
+        def weight(k: int) -> Column:
+            # Against kind 0, so that exponents stay near 0 where nothing is wrong.
+            out = F.lit(float(np.log(self.share[k] / self.share[0])))
+            for v, p, q in zip(votes, self.fails[k], self.fails[0], strict=True):
+                out = out + F.when(v == 0, float(np.log(p / q))).when(v == 2, float(np.log1p(-p) - np.log1p(-q))).otherwise(0.0)
+            return F.exp(F.least(out, F.lit(300.0)))
+
+        bad = self.bad
+        against = sum((weight(k) for k in np.flatnonzero(bad)), F.lit(0.0))
+        return 1 - against / (against + sum((weight(k) for k in np.flatnonzero(~bad) if k), F.lit(1.0)))
+
+
+def initial(patterns: np.ndarray, counts: np.ndarray) -> LabelModel:
+    """Kind 0 votes as all documents do, the kind of a rule as well but for its own, which is bad nine times of ten."""
+    k = patterns.shape[1]
+    voted, failed = ((patterns != 1) * counts[:, None]).sum(axis=0), ((patterns == 0) * counts[:, None]).sum(axis=0)
+    fails = np.tile((failed + 0.02) / (voted + 1), (k + 1, 1))
+    fails[np.arange(1, k + 1), np.arange(k)] = 0.9
+    fails[0] = np.minimum(fails[0], 0.5)
+    return LabelModel(np.array([0.85] + [0.15 / k] * k), fails)
+
+
+def fit_votes(counted: dict[tuple[int, ...], int], rounds: int = 200) -> LabelModel:
+    """EM over counted vote patterns: shares and vote probabilities of all kinds, with priors of STRENGTH documents."""
     k = len(RULE_NAMES)
-    prior = [[0.99] * k] + [[0.1 if i == j else 0.95 for i in range(k)] for j in range(k)]
-    low = [[0.98] * k] + [[0.01] * k for _ in range(k)]
-    high = [[0.9995] * k] + [[0.3 if i == j else 0.99 for i in range(k)] for j in range(k)]
-    of_class = [0.85] + [0.15 / k] * k
-    model = LabelModel(of_class, prior)
+    patterns = np.array(sorted(counted), int).reshape(-1, k)
+    counts = np.array([counted[tuple(p)] for p in patterns.tolist()], float)
+    start = model = initial(patterns, counts)
     for _ in range(rounds):
-        n_class, passed, voted = [0.0] * (k + 1), [[0.0] * k for _ in range(k + 1)], [[0.0] * k for _ in range(k + 1)]
-        for votes, n in counts.items():
-            for c, p in enumerate(model.posterior(votes)):
-                n_class[c] += n * p
-                for j, v in enumerate(votes):
-                    if v != 1:
-                        voted[c][j] += n * p
-                        passed[c][j] += n * p * (v == 2)
-        total = sum(n_class) + strength
-        model = LabelModel(
-            [(n + strength * s) / total for n, s in zip(n_class, of_class, strict=True)],
-            [[min(high[c][j], max(low[c][j], (passed[c][j] + strength * prior[c][j]) / (voted[c][j] + strength))) for j in range(k)] for c in range(k + 1)],
-        )
+        weight = model.posterior(patterns) * counts[:, None]
+        failed, voted = weight.T @ (patterns == 0), weight.T @ (patterns != 1)
+        share = (weight.sum(axis=0) + STRENGTH * start.share) / (counts.sum() + STRENGTH)
+        new = LabelModel(share, np.clip((failed + STRENGTH * start.fails) / (voted + STRENGTH), 1e-6, 1 - 1e-6))
+        done = np.abs(new.fails - model.fails).max() < 1e-7
+        model = new
+        if done:
+            break
     return model
 
 

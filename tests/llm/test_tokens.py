@@ -21,15 +21,13 @@ TEXTS = st.text(st.sampled_from("ab cdé  \n\t\r\x0b\x1c\x85 ​12'sdtlmreve<|
 
 @pytest.fixture(scope="module")
 def library():
-    t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(PATH)
 
 
 @pytest.fixture(scope="module")
 def unigram():
     pieces, unknown = token_counts.vocabulary(PIECES)
-    t = Tokenizer(models.Unigram(pieces, unknown))
+    t = Tokenizer(models.Unigram(pieces, unknown, True))
     t.pre_tokenizer = pre_tokenizers.Metaspace("▁", "always", True)
     return t, token_counts.Counter(pieces, unknown)
 
@@ -52,6 +50,27 @@ def test_counts_equal_the_library(unigram, text):
     assert counter.count(text) == len(tokenizer.encode(text, add_special_tokens=False).ids)
 
 
+def test_counts_are_near_those_of_the_files_own_tokenizer(unigram):
+    import sentencepiece
+
+    own = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    plain = (
+        "The quick brown fox jumps over the lazy dog", "tokenization of internationalization",
+        "It is a truth universally acknowledged, that a single man in possession of a good fortune, must be in want of a wife.",
+        "Call me Ishmael. Some years ago, never mind how long precisely, having little or no money in my purse, I thought I would sail about a little.",
+    )
+    for text in plain:
+        assert abs(unigram[1].count(text) - len(own.encode(text))) <= 1 + len(text) // 80
+    assert unigram[1].count("<s>") == 3  # a control piece's text is ordinary text
+
+
+@pytest.mark.parametrize("unit", ["中文没有空格", "QUJDREVGR0hJSktMTU5PUFFSU1RVVldYWVo", "ꙮ"])
+def test_long_texts_without_spaces(unigram, unit):
+    text = unit * (200_000 // len(unit))
+    assert unigram[1].count(text) == len(unigram[0].encode(text, add_special_tokens=False).ids)
+    assert all(len(w) <= token_counts.KEPT_LENGTH for w in unigram[1])
+
+
 def test_kept_words_are_bounded(monkeypatch, unigram, encoder):
     monkeypatch.setattr(token_counts, "KEPT_WORDS", 3)
     monkeypatch.setattr(packing, "KEPT_WORDS", 3)
