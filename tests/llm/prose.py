@@ -21,3 +21,9 @@ def edited(text: str, k: int, seed: int) -> str:
     for _ in range(k):
         w[r.randrange(len(w))] = f"word{r.randrange(10**6)}"
     return " ".join(w)
+
+
+def natural(n: int, seed: int) -> str:
+    """prose with a function word in each third place."""
+    r = random.Random(seed)
+    return " ".join(r.choice("the of and to in is on with".split()) if i % 3 == 1 else w for i, w in enumerate(prose(n, seed).split()))
