@@ -1,8 +1,10 @@
 """Toxicity (operator 4): windows are compressed with a dictionary of toxic and one of ordinary text.
 
-A bounded sample of labelled documents trains both zstandard dictionaries. Words that toxic documents hold in many
-contexts and ordinary ones hardly at all mark the passages the toxic dictionary is trained on; it also contains
-the ordinary dictionary, so that what differs between the two lengths of a window is the toxic passages alone.
+A bounded sample of labelled documents trains both zstandard dictionaries. The ordinary one is trained on windows of
+ordinary text. The toxic one is trained on single words of toxic text, those that toxic documents hold in many
+contexts and ordinary ones hardly at all, and contains the ordinary dictionary, so that what differs between the
+two lengths of a window is toxic words alone. Trained on whole windows of toxic documents, which are ordinary text
+for the most part, the dictionaries differ by chance more than by toxicity (README has figures).
 A window's gain is the bytes the toxic dictionary saves; a document's gains are calibrated on another part of the
 sample by a logistic regression. Scoring reads each text once, whole, and shuffles nothing.
 """
@@ -21,7 +23,7 @@ from pyspark.sql import functions as F
 from .labelled import held_out, training_ids
 from .trees import lasso_logistic, sigmoid
 
-#: Labelled documents of each class that are learned from at most, and the longest that are.
+#: Labelled documents of each class that are learned from at most, and the characters of each.
 PER_CLASS = 3000
 MOST_CHARS = 20_000
 WINDOW, STEP = 8, 4
@@ -110,25 +112,28 @@ def fit(rows: list[tuple[int, str, int]]) -> Model:
     return Model(toxic, ordinary, float(bias), [float(v) for v in w])
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int) -> list[tuple[int, str, int]]:
-    """At most 4 * per_class labelled rows of docs (doc_id, text), none of them held out."""
+def sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, most_chars: int = MOST_CHARS) -> list[tuple[int, str, int]]:
+    """At most 4 * per_class labelled rows of docs (doc_id, text), none of them held out; of a longer text
+    most_chars characters from a place that its id chooses."""
     chosen = F.broadcast(training_ids(labels, label, per_class))
-    rows = docs.where(F.col("text").isNotNull() & (F.length("text") <= MOST_CHARS)).join(chosen, "doc_id").select("doc_id", "text", "label")
+    start = F.pmod(F.xxhash64("doc_id"), F.greatest(F.length("text") - most_chars, F.lit(0)) + 1).cast("int")
+    rows = docs.where(F.col("text").isNotNull()).join(chosen, "doc_id").select("doc_id", F.substring("text", start + 1, F.lit(most_chars)).alias("text"), "label")
     return [tuple(r) for r in rows.limit(4 * per_class).collect()]
 
 
 _SCORE = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
 
 
-def scored(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", per_class: int = PER_CLASS) -> tuple[DataFrame, Model]:
+def scored(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", per_class: int = PER_CLASS, most_chars: int = MOST_CHARS) -> tuple[DataFrame, Model]:
     """((doc_id, held_out, score) of every row of docs, the model). Learned from at most per_class labelled ids of
-    each class, of documents of at most MOST_CHARS characters, none of them held out.
+    each class, none of them held out, and at most most_chars characters of each; whole texts are scored.
 
-    * Null and empty texts have no window and get the score of a text without any gain.
+    * Null and empty texts have no window and get the score of a text without any gain. Time grows with a text's
+      length; a very long text is scored by shares and logarithms of counts, as any other.
     * Null ids are held out. Repeated rows get equal scores. Without labels of both kinds the score is constant.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    model = fit(sample(rows, labels, label, per_class))
+    model = fit(sample(rows, labels, label, per_class, most_chars))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = model.scorer()
