@@ -40,8 +40,11 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    archive = warc.write_archive(table(spark, sf_dir, "pages"))
-    return archive.records().select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    """Every record, reached through the index: each URL is looked up, and what has that very URL is read."""
+    pages = table(spark, sf_dir, "pages")
+    archive = warc.write_archive(pages)
+    captures = archive.lookup(pages.select("url").distinct()).where(F.col("url").eqNullSafe(F.col("query")))
+    return archive.records(captures).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,8 +5,10 @@ task writes its records, one gzip member each, to a file of its own in the share
 task attempt; what a lost attempt has left is in no index.
 
 Index: captures are dealt by ranges of (reversed-host URL key, page), sorted, and packed into compressed blocks
-of BLOCK lines; a sparse directory holds each block's first and last key and its byte range. A look-up finds its
-blocks by binary search in the directory, reads them by range, then reads the records by range.
+of BLOCK lines; a sparse directory holds each block's first and last key and its byte range. The directory is
+itself packed into compressed blocks of ENTRIES, and only the range of each of these, one row for a million
+captures, is sent to tasks. A look-up halves its way through that list, reads the directory's blocks by range,
+halves its way through them, reads the index blocks by range, then the records by range.
 """
 
 from __future__ import annotations
@@ -31,13 +33,18 @@ from ._common import fresh_path, written
 BLOCK = 2000
 #: Payloads below this are always written in full.
 LEAST = 100
-#: Directory entries sent to each task at most; a larger directory is joined by ranges of its files.
-DIRECTORY = 500_000
+#: Directory entries in a block of the directory.
+ENTRIES = 512
+#: Directory blocks and index blocks held by a task.
+HELD = 8
 #: Bytes read at once.
 READ = 8_000_000
+#: Bytes of compressed records read by one task, about.
+TASK_BYTES = 8_000_000
 
 _CAPTURE = "key string, page_id long, url string, file string, at long, size long"
 _BLOCKS = "first string, last string, file string, at long, size long, lines int"
+_PLACES = "query string, key string, file string, at long, size long"
 
 
 def url_key(url: str | None) -> str:
@@ -126,11 +133,15 @@ def _batch(rows: list[tuple], ddl: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(cols, fields, strict=True)], [n for n, _ in fields])
 
 
-def _pack(folder: str):
+def _pack(folder: str, prefix: str, lines: int):
+    """Sorted rows (first key, last key or page, ...) into compressed blocks of so many lines, one file a task; gives
+    the blocks. A row's first and last key are its columns 0 and 0 in an index, 0 and 1 in a directory."""
+    last = 1 if prefix == "directory" else 0
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, top = _open(folder)
         task = TaskContext.get()
-        name, at, out, waiting, made = f"index-{task.partitionId():06d}-{task.taskAttemptId()}.gz", 0, None, [], []
+        name, at, out, waiting, made = f"{prefix}-{task.partitionId():06d}-{task.taskAttemptId()}.gz", 0, None, [], []
 
         def flush() -> None:
             nonlocal at, out, waiting
@@ -139,14 +150,14 @@ def _pack(folder: str):
                 out = store.open_output_stream(f"{top}/{name}", compression=None)
             raw = gzip.compress("\n".join(json.dumps(r) for r in waiting).encode(), 6, mtime=0)
             out.write(raw)
-            made.append((waiting[0][0], waiting[-1][0], name, at, len(raw), len(waiting)))
+            made.append((waiting[0][0], max(r[last] for r in waiting), name, at, len(raw), len(waiting)))
             at += len(raw)
             waiting = []
 
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 waiting.append(row)
-                if len(waiting) == BLOCK:
+                if len(waiting) == lines:
                     flush()
         if waiting:
             flush()
@@ -157,8 +168,8 @@ def _pack(folder: str):
     return run
 
 
-def _lines(folder: str, blocks: pa.RecordBatch | list[tuple[str, int, int]]) -> Iterator[list]:
-    """The captures in index blocks (file, first byte, bytes), by range reads."""
+def _lines(folder: str, blocks: Iterator[tuple[str, int, int]] | list[tuple[str, int, int]]) -> Iterator[list]:
+    """The lines of blocks (file, first byte, bytes), by range reads."""
     store, top = _open(folder)
     for name, at, size in blocks:
         with store.open_input_file(f"{top}/{name}") as f:
@@ -166,6 +177,39 @@ def _lines(folder: str, blocks: pa.RecordBatch | list[tuple[str, int, int]]) ->
                 yield json.loads(line)
 
 
+class _Within:
+    """The entries (first, last, ...), sorted by both, whose ranges hold a key."""
+
+    def __init__(self, entries: list) -> None:
+        self.entries, self.firsts, self.lasts = entries, [e[0] for e in entries], [e[1] for e in entries]
+
+    def find(self, key: str) -> list:
+        return self.entries[bisect_left(self.lasts, key) : bisect_right(self.firsts, key)]
+
+
+def _locate(folder: str, root: list):
+    """Queries (query, key), sorted by key, to (query, key, index block), by halving in root and in directory blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        top, held = _Within(root), {}
+        for batch in batches:
+            rows = []
+            for query, key in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for entry in top.find(key):
+                    place = tuple(entry[2:5])
+                    if place not in held:
+                        while len(held) >= HELD:
+                            held.pop(next(iter(held)))
+                        held[place] = _Within(list(_lines(folder, [place])))
+                    rows += [(query, key, *e[2:5]) for e in held[place].find(key)]
+                if len(rows) >= 10_000:
+                    yield _batch(rows, _PLACES)
+                    rows = []
+            yield _batch(rows, _PLACES)
+
+    return run
+
+
 def _read_records(folder: str):
     """Captures (file, at, size) of batches, sorted by place, to fields of their records; neighbours are read at once."""
 
@@ -203,11 +247,18 @@ _RECORD = "page_id long, url string, record_type string, payload_digest string,
 
 @dataclass
 class Archive:
-    """A written archive: the folder of its files and the block directory, sorted by key."""
+    """A written archive: the folder of its files, the block directory as a table, and the ranges of the directory's
+    own blocks, sorted (one for BLOCK * ENTRIES captures, so a short list); captures and bytes of records."""
 
     spark: SparkSession
     folder: str
     directory: DataFrame
+    root: list
+    n_captures: int
+    bytes: int
+
+    def _tasks(self) -> int:
+        return max(self.spark.sparkContext.defaultParallelism, -(-self.bytes // TASK_BYTES))
 
     def captures(self) -> DataFrame:
         """All captures of the index (key, page_id, url, file, at, size)."""
@@ -217,45 +268,27 @@ class Archive:
                 for row in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                     yield _batch([tuple(x) for x in _lines(folder, [row])], _CAPTURE)
 
-        n = self.spark.sparkContext.defaultParallelism
-        return self.directory.select("file", "at", "size").repartition(4 * n).mapInArrow(run, _CAPTURE)
+        return self.directory.select("file", "at", "size").repartition(self._tasks()).mapInArrow(run, _CAPTURE)
 
     def records(self, captures: DataFrame | None = None) -> DataFrame:
-        """The records of captures (all by default), read by range in the order they are stored."""
+        """The records of captures (all by default), read by range in the order they are stored. Tasks are as many
+        as the bytes of the archive ask for, not the few bytes of their places."""
         places = (self.captures() if captures is None else captures).select("file", "at", "size")
-        return places.repartitionByRange("file", "at").sortWithinPartitions("file", "at").mapInArrow(_read_records(self.folder), _RECORD)
+        return places.repartitionByRange(self._tasks(), "file", "at").sortWithinPartitions("file", "at").mapInArrow(_read_records(self.folder), _RECORD)
 
     def lookup(self, urls: DataFrame, url_col: str = "url") -> DataFrame:
-        """(query, key, page_id, url, file, at, size) of each capture of each URL. Directory entries are searched
-        by halving; blocks are read once per task that needs them."""
-        if self.directory.count() > DIRECTORY:
-            return self._lookup_joined(urls, url_col)
-        entries = sorted((r["first"], r["last"], r["file"], r["at"], r["size"]) for r in self.directory.collect())
-        firsts, lasts = [e[0] for e in entries], [e[1] for e in entries]
-
-        def locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                rows = []
-                for url in batch.column(0).to_pylist():
-                    key = url_key(url)
-                    rows += [(url, key, *entries[i][2:]) for i in range(bisect_left(lasts, key), bisect_right(firsts, key))]
-                yield _batch(rows, "query string, key string, file string, at long, size long")
+        """(query, key, page_id, url, file, at, size) of each capture with the key of each URL, for each row of urls.
 
-        where = urls.select(F.col(url_col).cast("string")).mapInArrow(locate, "query string, key string, file string, at long, size long")
-        return self._in_blocks(where)
-
-    def _lookup_joined(self, urls: DataFrame, url_col: str) -> DataFrame:
-        """The same with the index's lines joined by key, for directories too large to send."""
+        URLs that differ only in what a key leaves out (scheme, case, a leading www) find each other's captures."""
 
         def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 yield _batch([(u, url_key(u)) for u in batch.column(0).to_pylist()], "query string, key string")
 
         asked = urls.select(F.col(url_col).cast("string")).mapInArrow(keyed, "query string, key string")
-        return asked.join(self.captures(), "key").select("query", "key", "page_id", "url", "file", "at", "size")
+        places = asked.repartitionByRange("key", "query").sortWithinPartitions("key").mapInArrow(_locate(self.folder, self.root), _PLACES)
 
-    def _in_blocks(self, where: DataFrame) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch], folder=self.folder) -> Iterator[pa.RecordBatch]:
+        def read(batches: Iterator[pa.RecordBatch], folder=self.folder) -> Iterator[pa.RecordBatch]:
             held, lines = None, {}
             for batch in batches:
                 rows = []
@@ -264,10 +297,15 @@ class Archive:
                         held, lines = block, {}
                         for x in _lines(folder, [tuple(block)]):
                             lines.setdefault(x[0], []).append(x)
-                    rows += [(query, *x) for x in lines.get(key, ())]
+                    for x in lines.get(key, ()):
+                        rows.append((query, *x))
+                        if len(rows) >= 10_000:
+                            yield _batch(rows, "query string, " + _CAPTURE)
+                            rows = []
                 yield _batch(rows, "query string, " + _CAPTURE)
 
-        return where.repartition("file", "at", F.xxhash64("query")).sortWithinPartitions("file", "at").mapInArrow(run, "query string, " + _CAPTURE)
+        # By block, so that it is read once; where very many queries need one, Spark splits them.
+        return places.hint("rebalance", "file", "at").sortWithinPartitions("file", "at").mapInArrow(read, "query string, " + _CAPTURE)
 
 
 def write_archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = LEAST, date: str = "1970-01-01T00:00:00Z") -> Archive:
@@ -280,6 +318,7 @@ def write_archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     * Repeated rows with the smallest id are all responses. Rows with a null id are revisits of the smallest id
       with the payload, if there is one.
     * An empty table gives an archive without files. Other columns of pages are not written.
+    * A very long html is one record, which is written, and read again, in one piece.
     """
     spark = pages.sparkSession
     folder = fresh_path(spark, "archive")
@@ -291,5 +330,8 @@ def write_archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     refers = F.when(~F.col("lo").eqNullSafe(F.col("page_id")), F.col("lo"))
     rows = rows.join(again, "digest", "left").select("page_id", "url", "payload", "digest", "size", refers.alias("refers_to"))
     captures = written(rows.mapInArrow(_write(folder, date), _CAPTURE), "captures")
-    directory = captures.repartitionByRange("key", "page_id").sortWithinPartitions("key", "page_id").mapInArrow(_pack(folder), _BLOCKS)
-    return Archive(spark, folder, written(directory, "directory"))
+    total = captures.agg(F.count("*").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes")).first()
+    directory = written(captures.repartitionByRange("key", "page_id").sortWithinPartitions("key", "page_id").mapInArrow(_pack(folder, "index", BLOCK), _BLOCKS), "directory")
+    tops = directory.repartitionByRange("first", "last", "file", "at").sortWithinPartitions("first", "last", "file", "at").mapInArrow(_pack(folder, "directory", ENTRIES), _BLOCKS)
+    root = sorted(tuple(r)[:5] for r in written(tops, "root").collect())  # a row for BLOCK * ENTRIES captures and each task
+    return Archive(spark, folder, directory, root, total["n"], total["bytes"])

@@ -36,12 +36,26 @@ def test_lookups_by_url(spark, monkeypatch):
     asked = spark.createDataFrame([("http://EXAMPLE.com/a#x",), ("http://site3.net/p10",), ("http://nowhere.net/",), (None,)], "url string")
     found = {(r["query"], r["page_id"]) for r in archive.lookup(asked).collect()}
     assert found == {("http://EXAMPLE.com/a#x", i) for i in (2, 9, 10, 11)} | {("http://site3.net/p10", 110), (None, 3)}
-    monkeypatch.setattr(warc, "DIRECTORY", 0)
-    assert {(r["query"], r["page_id"]) for r in archive.lookup(asked).collect()} == found
     payload = archive.records(archive.lookup(asked.where("url LIKE '%site3%'"))).collect()
     assert [bytes(r["payload"]) for r in payload] == [b"page 10"]
 
 
+def test_a_directory_of_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(warc, "BLOCK", 3)
+    monkeypatch.setattr(warc, "ENTRIES", 2)
+    monkeypatch.setattr(warc, "HELD", 1)
+    # A third of all rows have one URL, whose captures fill many blocks; two URLs have one key.
+    rows = [(i, "http://hot.org/" if i % 3 == 0 else f"https://host{i % 11}.net/{i}", f"page {i}") for i in range(240)] + [(900, "https://hot.org/", "other"), (901, None, None)]
+    archive = warc.write_archive(pages(spark, rows).repartition(3))
+    assert len(archive.root) >= 30 and archive.n_captures == len(rows) and archive.bytes > 0
+    asked = pages(spark, rows).select("url").distinct()
+    found = sorted((r["query"] or "", r["page_id"]) for r in archive.lookup(asked).collect())
+    key = lambda u: warc.url_key(u)
+    assert found == sorted((q or "", i) for q in {r[1] for r in rows} for i, u, _ in rows if key(u) == key(q))
+    own = archive.lookup(asked).where("query <=> url")
+    assert sorted(r["page_id"] for r in archive.records(own).collect()) == sorted(r[0] for r in rows)
+
+
 def test_empty_table(spark):
     archive = warc.write_archive(pages(spark, []))
     assert archive.records().collect() == [] and archive.lookup(spark.createDataFrame([("http://a.b/",)], "url string")).collect() == []
