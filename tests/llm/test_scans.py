@@ -23,22 +23,111 @@ def test_templates_find_verbatim_and_reparameterised_items(spark, docs):
     ]
     items = bench(spark, [(70, ITEM), (71, OTHER), (72, None), (73, "two words"), (None, "")])
     got = {(r["doc_id"], r["item_id"], r["verbatim"]) for r in decontaminate.contaminated(docs(rows), items).collect()}
-    # Document 3 gives two numbers of the item one value: its slots don't correspond.
-    assert got - {(7, 70, False), (7, 70, True)} == {(1, 70, True), (2, 70, False), (8, 70, True), (8, 71, True), (None, 70, True), (10, 70, True)}
+    # Document 3 gives two numbers of the item one value: its slots don't correspond. Shouted words are no names.
+    assert got == {(7, 70, True), (1, 70, True), (2, 70, False), (8, 70, True), (8, 71, True), (None, 70, True), (10, 70, True)}
     kept = decontaminate.keep_clean(docs(rows), items)
     assert kept.columns == docs([]).columns
     assert {3, 4, 5, 6, 9} <= {r["doc_id"] for r in kept.collect()} and not {1, 2, 8, None} & {r["doc_id"] for r in kept.collect()}
 
 
-def test_empty_tables_and_blocks(spark, docs, monkeypatch):
+def test_names_numbers_and_units_are_replaced(spark, docs):
+    pairs = [
+        ("Peter Brown has 12 apples and gives five of them to Mary Jones before dinner.", "Anna has 30 apples and gives two of them to Sue before dinner."),
+        ("Peter has 9 coins and spends 4 today.", "Maria has 7 coins and spends 3 today."),
+        ("A train covers eighty km in five hours, how fast is it going?", "A train covers 95 miles in 2 days, how fast is it going?"),
+        ("What is 17 times 24?", "What is 31 times 8?"),
+    ]
+    items = bench(spark, [(k, a) for k, (a, _) in enumerate(pairs)])
+    rows = [(k, f"{prose(30, k)}\n{b} {prose(20, k + 50)}") for k, (_, b) in enumerate(pairs)] + [(100 + k, f"Quiz\n{a.lower()}") for k, (a, _) in enumerate(pairs)]
+    got = {(r["doc_id"], r["item_id"], r["verbatim"]) for r in decontaminate.contaminated(docs(rows), items).collect()}
+    assert got == {(k, k, False) for k in range(4)} | {(100 + k, k, True) for k in range(4)}
+
+
+def test_items_poor_in_words_are_found_verbatim_and_long_ones_by_a_run(spark, docs):
+    long = prose(300, 77)
+    items = bench(spark, [(1, "12 x 7 = ?"), (2, long), (3, "Anna Berg, Otto Lind, 1905, Rome")])
+    words = long.split()
+    rows = [(1, f"so 12 X 7 = ? {prose(9, 1)}"), (2, "so 13 x 7 = ? then"), (3, f"{prose(9, 2)} {' '.join(words[100:113])}"), (4, f"{prose(9, 3)} {' '.join(words[100:110])}"), (5, "see anna berg, otto lind, 1905, rome."), (6, "Carl Berg, Otto Lund, 1906, Bonn")]
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(docs(rows), items).collect()} == {(1, 1), (3, 2), (5, 3)}
+
+
+def test_recall_and_precision_on_generated_questions(spark, docs):
+    import random
+
+    r = random.Random(8)
+    names, units = ["Peter", "Maria", "Otto", "Anna Berg", "Lena", "Carl", "Sue"], ["km", "miles", "kg", "hours", "days", "euros"]
+    templates = [" ".join(f"{{{w}}}" if k % 7 == 3 else w for k, w in enumerate(prose(r.randrange(18, 40), 900 + i).lower().split())) for i in range(60)]
+
+    def filled(t: str, seed: int) -> str:
+        # Other numbers, names and units, each replaced by the same throughout.
+        q, out, used = random.Random(seed), [], {}
+        own = q.sample(units, len(units))
+        for w in t.split():
+            if w[0] != "{":
+                out.append(w)
+                continue
+            if w not in used:
+                fresh = {0: lambda: q.choice(names), 1: lambda: str(q.randrange(2, 10**6)), 2: lambda: f"{q.randrange(2, 10**6)} {own[len(w) % 5]}"}[len(w) % 3]
+                while (v := fresh()) in used.values():
+                    pass
+                used[w] = v
+            out.append(used[w])
+        return " ".join(out)
+
+    items = bench(spark, [(i, filled(t, i)) for i, t in enumerate(templates)])
+    rows = [(i, f"{prose(40, i)} {filled(t, 500 + i)} {prose(40, 70 + i)}") for i, t in enumerate(templates)] + [(1000 + i, prose(200, 3000 + i)) for i in range(60)]
+    found = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(docs(rows), items).collect()}
+    assert len(found & {(i, i) for i in range(60)}) >= 54 and found <= {(i, i) for i in range(60)}
+
+
+def test_verbatim_windows_equal_brute_force(spark, docs):
+    import random
+
+    r = random.Random(5)
+    vocabulary = [f"w{c}{d}" for c in "abcdef" for d in "uvxyz"]
+    text = lambda n: " ".join(r.choice(vocabulary) for _ in range(n))
+    items = [(i, text(r.randrange(3, 40))) for i in range(40)]
+    rows = []
+    for i in range(150):
+        own = items[r.randrange(40)][1].split()
+        a = r.randrange(len(own))
+        part = own[a : a + r.randrange(1, 30)]
+        if len(part) > 4 and i % 3 == 0:
+            part[r.randrange(len(part))] = "other"
+        rows.append((i, f"{text(20)} {' '.join(part)} {text(20)}"))
+
+    def holds(doc: str, item: str) -> bool:
+        d, q = doc.split(), item.split()
+        k = min(8, len(q))
+        wins = [tuple(q[i : i + k]) for i in range(len(q) - k + 1)]
+        least = max(min(-(-len(wins) // 2), 13 - k + 1), min(3, len(wins)))
+        at = {}
+        for p in range(len(d) - k + 1):
+            for i, w in enumerate(wins):
+                if tuple(d[p : p + k]) == w:
+                    at.setdefault(p - i, set()).add(i)
+        return any(len(set().union(*(at.get(s + e, set()) for e in range(-2, 3)))) >= least for s in at)
+
+    got = {(x["doc_id"], x["item_id"]) for x in decontaminate.contaminated(docs(rows), bench(spark, items)).collect()}
+    want = {(i, j) for i, t in rows for j, q in items if holds(t, q)}
+    assert got == want and len(want) >= 25
+
+
+def test_empty_tables_copies_and_long_texts(spark, docs, monkeypatch):
     none = bench(spark, [])
     assert decontaminate.contaminated(docs([(1, ITEM)]), none).collect() == []
     assert decontaminate.contaminated(docs([]), bench(spark, [(1, ITEM)])).collect() == []
     assert decontaminate.keep_clean(docs([(1, ITEM)]), none).count() == 1
-    monkeypatch.setattr(decontaminate, "BLOCK_CHARS", 100)
-    items = bench(spark, [(1, ITEM), (2, OTHER), (3, ITEM)])
-    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(docs([(5, ITEM), (6, OTHER)]), items).collect()}
-    assert got == {(5, 1), (5, 3), (6, 2)}
+    items = bench(spark, [(1, ITEM), (2, OTHER), (3, ITEM), (3, ITEM), (4, "a b"), (5, None)])
+    long = f"{prose(60_000, 4)} {ITEM} " + "z" * 300_000
+    rows = [(5, ITEM), (6, OTHER), (7, ITEM), (8, long), (9, None)]
+    got = sorted((r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(docs(rows), items).collect())
+    assert got == [(5, 1), (5, 3), (6, 2), (7, 1), (7, 3), (8, 1), (8, 3)]
+    # A full bitmap lets all windows through; the result is the same.
+    monkeypatch.setattr(decontaminate, "LEAST_BITS", 3)
+    monkeypatch.setattr(decontaminate, "MOST_BITS", 4)
+    assert sorted((r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(docs(rows[:3]), items).collect()) == got[:5]
+    assert {r["doc_id"] for r in decontaminate.keep_clean(docs(rows), items).collect()} == {9}
 
 
 def test_secrets(docs):
