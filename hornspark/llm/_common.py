@@ -2,36 +2,46 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.storage import own_dir
+
 #: The white space of the contracts, ``[\x20\x09-\x0D]``, as characters and as a Java pattern.
 WS = " \t\n\x0b\x0c\r"
 WS_RUN = "[\\x20\\x09-\\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
-_FALLBACK: dict[str, str] = {}
+#: Bytes in an Arrow batch that a written step sends to Python: rows of texts differ in size by many thousand times.
+BATCH = "2m"
+_BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: ``spark.checkpoint.dir``; one of our own only where that is unset."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = _FALLBACK.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="hornspark-"))
-    return where.rstrip("/")
+@contextmanager
+def byte_batches(spark: SparkSession) -> Iterator[None]:
+    """What is planned within sends Python batches of BATCH at most, or of one row."""
+    before = spark.conf.get(_BATCH_CONF)
+    spark.conf.set(_BATCH_CONF, BATCH)
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH_CONF, before)
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/hornspark/{uuid.uuid4().hex}/{name}"
+    return f"{own_dir(spark)}/{uuid.uuid4().hex}/{name}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder, read again: lineage is cut, and a lost executor costs only a re-read."""
+    """df as a table in the shared folder, read again: lineage is cut, and a lost executor costs only a re-read.
+    ``plans.storage.clear`` deletes all of them."""
     path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
+    with byte_batches(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -23,12 +23,14 @@ def dedup_lines(
     min_docs: int = 2,
     n_lines_col: str | None = None,
     n_dropped_col: str | None = None,
+    drop_emptied: bool = False,
 ) -> DataFrame:
     """All rows and columns of docs, text without repeated lines, plus the two counts where they are named.
 
     * A key shorter than min_chars code points never counts. A key in at least min_docs distinct ids stays in
       the smallest id only, there with all its lines.
-    * Null and empty texts are one empty line and come out as "". A text that loses every line becomes "".
+    * Null and empty texts are one empty line and come out as "". A text that loses every line becomes "". With
+      drop_emptied, rows go that had a word and have none left; those that had none stay.
     * Rows with a null id keep all lines and count as no document.
     * Rows with the same id are one document for counting; each row is reassembled on its own.
     * Other columns pass through, whatever their names.
@@ -61,4 +63,7 @@ def dedup_lines(
         out.append(F.size("__hs_l").cast("long").alias(n_lines_col))
     if n_dropped_col:
         out.append(F.coalesce(F.size("__hs_p"), F.lit(0)).cast("long").alias(n_dropped_col))
+    if drop_emptied:
+        blank = lambda c: F.btrim(c, F.lit(WS)) == ""
+        found = found.where(F.col("__hs_p").isNull() | ~blank(text) | blank(F.col(text_col)))
     return found.select(out)

@@ -1,16 +1,19 @@
 """N-gram Jaccard join (operator 1): which texts are linked by the similarity of their shingle sets.
 
-1. A count sketch of fixed size (2 ** 22 counters) over the shingles of all documents gives one global order,
-   rare first. Any order that all documents share is right; a good one keeps lists short.
+1. A count sketch over the shingles of all documents, of a size that follows the bytes of text, gives one global
+   order, rare first. Any order that all documents share is right; a good one keeps lists short.
 2. Each document gets the size and digest of its set, a parity signature, and its prefix: the n - ceil(t n) + 1
    rarest shingles, of which two linked sets share one at least. Equal sets become one class.
 3. Prefix shingles are dealt by hash and scanned in runs. Pairs must pass the length and the positional filter.
-   Short runs give all their pairs, long ones a star and a chain at first.
+   Short runs give all their pairs, long ones a star and a chain at first. Shingles that may be in very many
+   prefixes by the sketch are counted exactly, and those that are, are dealt over several runs.
 4. Distinct pairs pass the suffix filter (a lower bound on the symmetric difference from the parity signatures)
    and are verified once on whole sets, which are computed again from the texts of the classes in question.
 5. Verified links are contracted to components. In long runs, pairs of classes that are still in different
    components are then joined, filtered and verified as well, so that no link between components is missed,
-   while pairs within a component, which can't change the result, are not made.
+   while pairs within a component, which can't change the components, are not made.
+6. Links are counted. Where no run was long, all have been verified by then. The sets of the other components are
+   compared in blocks, as bits over the shingles that a block shares, and only counts come out.
 """
 
 from __future__ import annotations
@@ -28,12 +31,17 @@ from ._common import written
 from .components import components
 from .hashing import shingle_sets
 
-BITS = 22
+#: The sketch has a counter for so many bytes of text, and 2 ** these for the smallest and the largest input.
+BYTES, LEAST_BITS, MOST_BITS = 64, 16, 24
 _PART = 1 << 14
 #: Runs up to this length give all their pairs at once.
 SHORT = 24
 #: Hot shingles are dealt over several runs of about this many documents.
 RUN = 8192
+#: Members and shingles of a component in one block of step 6.
+MEMBERS, MEMBER_TOKENS = 512, 1 << 18
+#: Bits of a signature at most.
+SIGNATURE = 1 << 14
 
 
 def _schema(**kinds: pa.DataType) -> pa.Schema:
@@ -49,55 +57,74 @@ def _rows(schema: pa.Schema, *columns) -> pa.RecordBatch:
 _COUNTS = _schema(part=pa.int32(), counts=pa.binary())
 
 
-def _packed(counts: np.ndarray, base: int = 0) -> pa.RecordBatch:
+def _packed(counts: np.ndarray, kind: str, base: int = 0) -> pa.RecordBatch:
     parts = counts.reshape(-1, _PART)
     some = np.flatnonzero(parts.any(axis=1))
-    return _rows(_COUNTS, (some + base).tolist(), [zlib.compress(parts[i].astype("<u8").tobytes(), 1) for i in some])
+    return _rows(_COUNTS, (some + base).tolist(), [zlib.compress(parts[i].astype(kind).tobytes(), 1) for i in some])
 
 
-def _count(k: int):
+def _count(k: int, bits: int):
+    shift = np.uint64(64 - bits)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, waiting, size = np.zeros(1 << BITS, np.uint32), [], 0
+        counts, waiting, size = np.zeros(1 << bits, np.uint32), [], 0
+
+        def add() -> None:
+            nonlocal waiting, size
+            if waiting:
+                cell, n = np.unique((np.concatenate(waiting) >> shift).astype(np.uint32), return_counts=True)
+                counts[cell] += n.astype(np.uint32)
+            waiting, size = [], 0
+
         for batch in batches:
             for s in shingle_sets(batch.column(0), k):
-                waiting.append(s >> np.uint64(64 - BITS))
+                waiting.append(s)
                 size += len(s)
                 if size > 1 << 20:
-                    counts += np.bincount(np.concatenate(waiting).astype(np.int64), minlength=1 << BITS).astype(np.uint32)
-                    waiting, size = [], 0
-        if waiting:
-            counts += np.bincount(np.concatenate(waiting).astype(np.int64), minlength=1 << BITS).astype(np.uint32)
-        yield _packed(counts)
+                    add()
+        add()
+        yield _packed(counts, "<u4")
 
     return run
 
 
+def _rank(counts: np.ndarray) -> np.ndarray:
+    """Counts in one byte: eight steps for each power of two."""
+    return np.minimum(255, np.floor(8 * np.log2(counts.astype(np.float64) + 1))).astype(np.uint8)
+
+
 def _sum_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total: dict[int, np.ndarray] = {}
     for batch in batches:
         for part, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            own = np.frombuffer(zlib.decompress(raw), "<u8")
-            total[part] = total[part] + own if part in total else own
+            own = np.frombuffer(zlib.decompress(raw), "<u4")
+            if part in total:
+                total[part] += own
+            else:
+                total[part] = own.astype(np.uint64)
     for part, own in total.items():
-        yield _packed(own, part)
+        yield _packed(_rank(own), "u1", part)
 
 
-def shingle_counts(docs: DataFrame, text_col: str, k: int) -> np.ndarray:
-    """How many documents hold a shingle of each of 2 ** BITS hash ranges; of fixed size, over all documents."""
-    parts = docs.select(text_col).mapInArrow(_count(k), "part int, counts binary").repartition("part").mapInArrow(_sum_counts, "part int, counts binary")
-    counts = np.zeros((1 << BITS) // _PART * _PART, np.uint64).reshape(-1, _PART)
-    for r in parts.collect():  # at most 2 ** BITS numbers
-        counts[r["part"]] += np.frombuffer(zlib.decompress(r["counts"]), "<u8")
-    return np.minimum(counts.reshape(-1), np.uint64(2**32 - 1)).astype(np.uint32)
+def shingle_ranks(docs: DataFrame, text_col: str, k: int) -> np.ndarray:
+    """By the leading bits of a shingle's hash, how many documents hold one with these bits, in steps (``_rank``)."""
+    size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    bits = min(MOST_BITS, max(LEAST_BITS, int(size // BYTES).bit_length()))
+    counts = written(docs.select(text_col).mapInArrow(_count(k, bits), "part int, counts binary"), "counts")
+    parts = written(counts.repartition("part").mapInArrow(_sum_counts, "part int, counts binary"), "ranks")
+    ranks = np.zeros(1 << bits, np.uint8).reshape(-1, _PART)
+    for r in parts.toLocalIterator():  # 2 ** MOST_BITS bytes in all
+        ranks[r["part"]] = np.frombuffer(zlib.decompress(r["counts"]), "u1")
+    return ranks.reshape(-1)
 
 
 # -- 2. sets, prefixes and signatures -------------------------------------------------------------------------
 
 
 def signature(tokens: np.ndarray) -> bytes:
-    """Parities of the tokens' hashes in at least as many bits, a power of two, as there are tokens: of two
-    signatures, folded to the shorter's length, no more bits differ than tokens."""
-    size = max(64, 1 << int(len(tokens) - 1).bit_length())
+    """Parities of the tokens' hashes in as many bits, a power of two, as there are tokens at least, or in SIGNATURE
+    bits: of two signatures, folded to the shorter's length, no more bits differ than tokens."""
+    size = min(SIGNATURE, max(64, 1 << int(len(tokens) - 1).bit_length()))
     bits = np.bincount((tokens & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
     return np.packbits(bits.astype(np.uint8), bitorder="little").tobytes()
 
@@ -115,49 +142,55 @@ def _digest(tokens: np.ndarray) -> bytes:
     return hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
 
 
-_DOCS = _schema(doc_id=pa.int64(), n=pa.int64(), digest=pa.binary(), prefix=pa.binary(), signature=pa.binary())
+_DOCS = _schema(doc_id=pa.int64(), key=pa.binary(), n=pa.int64(), digest=pa.binary(), prefix=pa.list_(pa.int64()), suspect=pa.list_(pa.bool_()), signature=pa.binary())
+_DOCS_DDL = "doc_id long, key binary, n long, digest binary, prefix array<long>, suspect array<boolean>, signature binary"
+
+
+def _lists(values: list[np.ndarray | None], kind: pa.DataType, dtype: type) -> pa.Array:
+    sizes = np.array([0 if v is None else len(v) for v in values], np.int32)
+    flat = np.concatenate([np.zeros(0, dtype), *(v for v in values if v is not None)])
+    return pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32), pa.array(flat, kind))
 
 
-def _describe(counts, k: int, num: int, den: int):
+def _describe(ranks, k: int, num: int, den: int):
+    hot = int(_rank(np.array([RUN]))[0])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order = counts.value
+        order = ranks.value
+        shift = np.uint64(64 - int(len(order) - 1).bit_length())
         for batch in batches:
-            n, digest, prefix, sig = [], [], [], []
-            for s in shingle_sets(batch.column(1), k):
+            n, digest, prefix, suspect, sig = [], [], [], [], []
+            for s in shingle_sets(batch.column(2), k):
                 n.append(len(s))
                 if len(s) == 0:
-                    digest.append(None), prefix.append(None), sig.append(None)
+                    digest.append(None), prefix.append(None), suspect.append(None), sig.append(None)
                     continue
                 first = len(s) + num * -len(s) // den + 1  # n - ceil(t n) + 1
-                ranked = s[np.argsort(order[(s >> np.uint64(64 - BITS)).astype(np.int64)], kind="stable")]
-                digest.append(_digest(s)), prefix.append(ranked[:first].tobytes()), sig.append(signature(s))
-            yield _rows(_DOCS, batch.column(0), n, digest, prefix, sig)
+                rank = order[(s >> shift).astype(np.int64)]
+                own = np.argsort(rank, kind="stable")[:first]
+                digest.append(_digest(s)), prefix.append(s[own].view(np.int64)), suspect.append(rank[own] >= hot), sig.append(signature(s))
+            yield _rows(_DOCS, batch.column(0), batch.column(1), n, digest, _lists(prefix, pa.int64(), np.int64), _lists(suspect, pa.bool_(), bool), sig)
 
     return run
 
 
 # -- 3. runs of equal shingles --------------------------------------------------------------------------------
 
-_POSTINGS = _schema(token=pa.int64(), salt=pa.int32(), n=pa.int64(), c=pa.int64(), pos=pa.int32())
 _FOUND = _schema(a=pa.int64(), b=pa.int64(), token=pa.int64(), n=pa.int64(), pos=pa.int32(), hub=pa.bool_())
 
 
-def _post(counts):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order = counts.value
-        run_length = RUN + 4 * int(order.mean(dtype=np.float64))
-        for batch in batches:
-            tokens = [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(2)]
-            if not tokens:
-                continue
-            sizes = np.array([len(t) for t in tokens])
-            token, c, n = np.concatenate(tokens), np.repeat(batch.column(0).to_numpy(), sizes), np.repeat(batch.column(1).to_numpy(), sizes)
-            pos = np.concatenate([np.arange(m) for m in sizes])
-            runs = order[(token >> np.uint64(64 - BITS)).astype(np.int64)] // run_length
-            salt = np.where(runs > 0, 1 + (c * 2654435761 >> 16) % np.maximum(runs, 1), 0)
-            yield _rows(_POSTINGS, token.view(np.int64), salt.astype(np.int32), n, c, pos.astype(np.int32))
-
-    return run
+def _postings(classes: DataFrame) -> DataFrame:
+    """(token, salt, n, c, pos): the classes by the shingles of their prefixes. Shingles in more than RUN prefixes
+    are dealt over runs 1, 2, …; only those that the sketch suspects are counted."""
+    at = classes.select("c", "n", F.posexplode(F.arrays_zip("prefix", "suspect")).alias("pos", "x")).select(F.col("x.prefix").alias("token"), "n", "c", "pos", F.col("x.suspect").alias("suspect"))
+    suspected = classes.where(F.exists("suspect", lambda x: x))
+    often = suspected.select(F.explode(F.arrays_zip("prefix", "suspect")).alias("x")).where("x.suspect").groupBy(F.col("x.prefix").alias("token")).count()
+    often = written(often.where(F.col("count") > RUN).select("token", F.ceil(F.col("count") / RUN).cast("int").alias("runs")), "often")
+    if often.isEmpty():
+        return at.select("token", F.lit(0).alias("salt"), "n", "c", "pos")
+    dealt = at.where("suspect").join(often, "token", "left").withColumn("salt", F.when(F.col("runs").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64("c"), F.col("runs"))).cast("int"))
+    names = ["token", "salt", "n", "c", "pos"]
+    return at.where("NOT suspect").withColumn("salt", F.lit(0)).select(names).union(dealt.select(names))
 
 
 def _alike(n, m, i, j, num: int, den: int):
@@ -354,28 +387,107 @@ def _linked(near: DataFrame, classes: DataFrame, docs: DataFrame, k: int, num: i
     return written(near.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ta", "tb").mapInArrow(_verify(num, den), "a long, b long"), "links")
 
 
-# -- 5. the whole ---------------------------------------------------------------------------------------------
+# -- 6. numbers of links --------------------------------------------------------------------------------------
 
 
-def similarity_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for each row of docs: texts are linked if
-    den * intersection >= num * union of their shingle sets; component_id is the smallest id reachable.
+def _common(tokens: list[np.ndarray], pairs_of) -> np.ndarray:
+    """How many tokens the sets share, by row and column; only those columns of a row that pairs_of(row) gives."""
+    rows = np.repeat(np.arange(len(tokens)), [len(t) for t in tokens])
+    _, token, times = np.unique(np.concatenate(tokens), return_inverse=True, return_counts=True)
+    keep = times[token] > 1  # what one set has alone is common to none
+    rows, token = rows[keep], np.unique(token[keep], return_inverse=True)[1]
+    common = np.zeros((len(tokens), len(tokens)), np.int32)
+    for low in range(0, int(token.max(initial=-1)) + 1, 1 << 15):
+        own = (token >= low) & (token < low + (1 << 15))
+        at, bit = rows[own], token[own] - low
+        words = np.zeros((len(tokens), int(bit.max(initial=0)) // 64 + 1), np.uint64)
+        np.bitwise_or.at(words, (at, bit // 64), np.uint64(1) << (bit % 64).astype(np.uint64))
+        for x in range(len(tokens)):
+            y = pairs_of(x)
+            if len(y):
+                common[x, y] += np.bitwise_count(words[y] & words[x]).sum(axis=1, dtype=np.int32)
+    return common
 
-    * Null texts and texts without words have empty sets and are linked with nothing; so are rows with a null
-      id, whose component_id is null. A text with fewer words than a shingle is one shingle.
-    * Rows with the same id each keep their own set and are not linked by the id; equal texts always are.
-    * An empty table gives an empty result; further columns of docs are not looked at.
-    """
+
+_LINKS = _schema(c=pa.int64(), k=pa.int64())
+
+
+def _count_links(num: int, den: int):
+    """Rows (root, i, j, block, c, n, size, tokens) of pairs of blocks, sorted by the first three and n, to (c, how
+    many documents of other classes in the two blocks it is linked with)."""
+
+    def counted(held: list[tuple], i: int, j: int) -> Iterator[pa.RecordBatch]:
+        block, c, n, size = (np.array(x, np.int64) for x in list(zip(*held, strict=True))[:4])
+        tokens = [np.frombuffer(h[4], np.uint64) for h in held]
+
+        def pairs_of(x: int) -> np.ndarray:
+            y = np.arange(x + 1, int(np.searchsorted(n * num, n[x] * den, "right")))
+            return y if i == j else y[block[y] != block[x]]
+
+        common = _common(tokens, pairs_of)
+        linked = np.zeros(common.shape, bool)
+        for x in range(len(c)):
+            y = pairs_of(x)
+            linked[x, y] = common[x, y] * den >= num * (n[x] + n[y] - common[x, y])
+        linked |= linked.T
+        yield _rows(_LINKS, c, linked @ size)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+        for batch in batches:
+            for root, i, j, *rest in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (root, i, j) != key:
+                    if len(held) > 1:
+                        yield from counted(held, *key[1:])
+                    key, held = (root, i, j), []
+                held.append(tuple(rest))
+        if len(held) > 1:
+            yield from counted(held, *key[1:])
+
+    return run
+
+
+def _within(members: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """(c, k): the links of members (root, c, n, size, doc_id, digest) of whole components, counted in blocks."""
+    many = members.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / MEMBERS), F.ceil(F.sum("n") / MEMBER_TOKENS)).cast("int").alias("blocks"))
+    sets = written(docs.join(members.select("c", "doc_id", "digest"), "doc_id").select("c", "text", "digest").mapInArrow(_sets(k), "c long, tokens binary").dropDuplicates(["c"]), "member-sets")
+    own = members.join(many, "root").withColumn("block", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    own = own.select("root", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "c", "n", "size").join(sets, "c")
+    own = own.select("root", "i", "j", "block", "c", "n", "size", "tokens").repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "n", "c")
+    return own.mapInArrow(_count_links(num, den), "c long, k long")
+
+
+def _n_links(links: DataFrame, root: DataFrame, classes: DataFrame, long_runs: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """(c, k): with how many documents of other classes each class is linked."""
+    touched = written(long_runs.join(root.withColumnRenamed("node", "c"), "c").select("root").distinct(), "touched")
+    own = root.join(touched, "root", "left_semi")
+    rest = links.join(own.select(F.col("node").alias("a")), "a", "left_anti")
+    sized = classes.select(F.col("c").alias("other"), "size")
+    both = rest.select(F.explode(F.array(F.struct(F.col("a").alias("c"), F.col("b").alias("other")), F.struct(F.col("b").alias("c"), F.col("a").alias("other")))).alias("e")).select("e.*")
+    k_of = both.distinct().join(sized, "other").select("c", F.col("size").alias("k"))
+    if not touched.isEmpty():
+        members = own.withColumnRenamed("node", "c").join(classes.select("c", "n", "size", "doc_id", "digest"), "c")
+        k_of = k_of.union(written(_within(written(members, "members"), docs, k, num, den), "member-links"))
+    return k_of.groupBy("c").agg(F.sum("k").alias("k"))
+
+
+# -- the whole ------------------------------------------------------------------------------------------------
+
+
+def _grouped(docs: DataFrame, id_col: str, text_col: str, words: int, num: int, den: int, count_links: bool) -> DataFrame:
+    """(doc_id, key, n_shingles, first, n_links) for each row; key is a digest of the text, first the smallest
+    (doc_id, key) of its component, null for rows that are linked with nothing, not even themselves."""
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    counts = spark.sparkContext.broadcast(shingle_counts(docs, "text", words))
-    ddl = "doc_id long, n long, digest binary, prefix binary, signature binary"
-    rows = written(docs.mapInArrow(_describe(counts, words, num, den), ddl), "rows")
-    same = rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), *(F.first(c).alias(c) for c in ("n", "prefix", "signature")))
-    classes = written(same.withColumn("c", F.monotonically_increasing_id()), "classes")
-
-    postings = classes.select("c", "n", "prefix").mapInArrow(_post(counts), "token long, salt int, n long, c long, pos int")
-    found = written(_scanned(postings, num, den), "runs")
+    ranks = spark.sparkContext.broadcast(shingle_ranks(docs, "text", words))
+    keyed = docs.select("doc_id", F.unhex(F.md5("text")).alias("key"), "text")
+    rows = written(keyed.mapInArrow(_describe(ranks, words, num, den), _DOCS_DDL), "rows")
+    same = rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(
+        F.min(F.struct("doc_id", "key")).alias("first"), F.count("*").alias("size"), *(F.first(c).alias(c) for c in ("n", "prefix", "suspect", "signature"))
+    )
+    classes = written(same.withColumn("c", F.monotonically_increasing_id()).withColumn("doc_id", F.col("first.doc_id")), "classes")
+
+    found = written(_scanned(_postings(classes), num, den), "runs")
     hubs = found.where("hub").select("token", F.lit(0).alias("salt"), "n", F.col("a").alias("c"), "pos")
     pairs = found.where("b IS NOT NULL").select("a", "b").union(_scanned(hubs, num, den).where("b IS NOT NULL").select("a", "b")).distinct()
     links = _linked(_filtered(pairs, classes, num, den), classes, docs, words, num, den)
@@ -393,25 +505,49 @@ def similarity_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         near = own.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "n", "c").mapInArrow(_across(num, den), "a long, b long").distinct()
         more = _linked(near, classes, docs, words, num, den)
         if more is not None:
-            links = links.union(more)
+            links = links.union(more) if links is not None else more
             root = components(links)
 
-    labelled = classes.select("digest", "c", "doc_id")
+    labelled = classes.select("digest", "c", "first", "size")
     if root is not None:
         labelled = labelled.join(root.withColumnRenamed("node", "c"), "c", "left").withColumn("root", F.coalesce("root", "c"))
-        smallest = labelled.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-        labelled = labelled.join(smallest, "root").select("digest", "component_id")
-    else:
-        labelled = labelled.select("digest", F.col("doc_id").alias("component_id"))
-    linked = rows.select("doc_id", F.col("n").alias("n_shingles"), "digest").join(labelled, "digest", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return linked.select("doc_id", "n_shingles", component.alias("component_id"))
-
-
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """docs without the rows whose component has a smaller id. Rows that repeat an id are one document and one
-    of them stays; rows with a null id all stay."""
-    groups = similarity_groups(docs, id_col, text_col, **how)
-    later = groups.where("component_id < doc_id").select(F.col("doc_id").alias("__hs_id")).distinct()
-    named = docs.where(F.col(id_col).isNotNull()).join(later, F.col(id_col) == F.col("__hs_id"), "left_anti")
-    return named.dropDuplicates([id_col]).select(docs.columns).unionByName(docs.where(F.col(id_col).isNull()))
+        labelled = labelled.drop("first").join(labelled.groupBy("root").agg(F.min("first").alias("first")), "root")
+        if count_links:
+            labelled = labelled.join(_n_links(links, root, classes, long_runs, docs, words, num, den), "c", "left")
+    k = F.coalesce("k", F.lit(0)) if count_links and root is not None else F.lit(0)
+    labelled = labelled.select("digest", "first", (F.col("size") - 1 + k).cast("long").alias("n_links"))
+    linked = rows.select("doc_id", "key", F.col("n").alias("n_shingles"), "digest").join(labelled, "digest", "left")
+    alone = F.col("doc_id").isNull()
+    return linked.select("doc_id", "key", "n_shingles", F.when(~alone, F.col("first")).alias("first"), F.when(alone, 0).otherwise(F.coalesce("n_links", F.lit(0))).cast("long").alias("n_links"))
+
+
+def similarity_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """(doc_id, n_shingles, component_id, n_links) for each row of docs: texts are linked if
+    den * intersection >= num * union of their shingle sets; component_id is the smallest id reachable, n_links the
+    number of other rows it is linked with.
+
+    * Null texts and texts without words have empty sets and are linked with nothing; so are rows with a null
+      id, whose component_id is null. A text with fewer words than a shingle is one shingle.
+    * Rows with the same id each keep their own set and are not linked by the id; equal texts always are.
+    * An empty table gives an empty result; further columns of docs are not looked at.
+    * A very long text is hashed in one piece, some 100 bytes a word.
+    """
+    rows = _grouped(docs, id_col, text_col, words, num, den, True)
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("first.doc_id", "doc_id"))
+    return rows.select("doc_id", "n_shingles", component.alias("component_id"), "n_links")
+
+
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """docs with one row of each component: of those with its smallest id the one whose text has the smallest digest.
+    Rows that repeat an id and a text are one document and one of them stays, rows that repeat an id alone are not.
+    Rows with a null id and texts without words all stay."""
+    rows = _grouped(docs, id_col, text_col, words, num, den, False)
+    own = rows.where("first IS NOT NULL").select(F.struct("doc_id", "key").alias("own"), "first")
+    later = written(own.where("own <> first").select("own").distinct(), "later")
+    twice = written(own.where("own = first").groupBy("own").count().where("count > 1").select("own"), "repeated")
+    this = F.struct(F.col(id_col).cast("long").alias("doc_id"), F.unhex(F.md5(text_col)).alias("key"))
+    stay = docs.join(later, this == F.col("own"), "left_anti")
+    if twice.isEmpty():
+        return stay
+    once = stay.join(twice, this == F.col("own"), "left_semi").withColumn("__hs_own", this).dropDuplicates(["__hs_own"]).drop("__hs_own")
+    return stay.join(twice, this == F.col("own"), "left_anti").unionByName(once)

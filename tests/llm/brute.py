@@ -27,10 +27,10 @@ def shingles(text: str | None, k: int) -> frozenset[tuple[str, ...]]:
     return frozenset(tuple(w[i : i + k]) for i in range(len(w) - k + 1)) or (frozenset([tuple(w)]) if w else frozenset())
 
 
-def similarity_groups(rows: list[tuple[int | None, str | None]], k: int, num: int, den: int) -> list[tuple[int | None, int, int | None]]:
-    """(id, size of set, component) of each row, by comparing all that share a shingle."""
+def similarity_groups(rows: list[tuple[int | None, str | None]], k: int, num: int, den: int) -> list[tuple[int | None, int, int | None, int]]:
+    """(id, size of set, component, links) of each row, by comparing all that share a shingle."""
     sets = [shingles(t, k) for _, t in rows]
-    root = list(range(len(rows)))
+    root, links = list(range(len(rows))), [0] * len(rows)
 
     def find(i: int) -> int:
         while root[i] != i:
@@ -47,9 +47,10 @@ def similarity_groups(rows: list[tuple[int | None, str | None]], k: int, num: in
             holders.setdefault(x, []).append(i)
         for j, n in common.items():
             if den * n >= num * (len(s) + len(sets[j]) - n):
+                links[i], links[j] = links[i] + 1, links[j] + 1
                 root[max(find(i), find(j))] = min(find(i), find(j))
     least: dict[int, int] = {}
     for i, (d, _) in enumerate(rows):
         if d is not None:
             least[find(i)] = min(d, least.get(find(i), d))
-    return [(d, len(s), None if d is None else least[find(i)]) for i, ((d, _), s) in enumerate(zip(rows, sets, strict=True))]
+    return [(d, len(s), None if d is None else least[find(i)], links[i]) for i, ((d, _), s) in enumerate(zip(rows, sets, strict=True))]

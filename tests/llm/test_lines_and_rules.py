@@ -48,6 +48,12 @@ def test_line_dedup_threshold(docs):
     assert got[0].startswith("a line") and got[1] == "filler 1" and got[8] == "a line of two only"
 
 
+def test_emptied_documents_go(docs):
+    rows = [(1, "a line that two hold\nmine alone, this one"), (2, "a line that two hold\n\n"), (3, "A LINE that two hold"), (4, ""), (5, None), (6, " \n"), (7, "a line that two hold\nshort"), (None, "a line that two hold")]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(docs(rows), drop_emptied=True).collect()}
+    assert got == {1: rows[0][1], 4: "", 5: "", 6: " \n", 7: "short", None: "a line that two hold"}
+
+
 def test_rule_statistics_equal_brute_force(docs):
     phrase = " ".join(f"w{i}" for i in range(12))
     rows = [(1, None), (2, ""), (3, " \n "), (4, f"{phrase} x {phrase}"), (5, f"{phrase} {phrase} {phrase}"), (6, "a b c d e f g h\n" * 5), (7, "la " * 4000), (8, prose(300, 1)), (9, "é ñ 中 😀 #$%&|<>*\n😀\n😀"), (8, prose(300, 1)), (None, prose(30, 2)), (10, "a\x1cb c\x0bd")]

@@ -41,10 +41,30 @@ def test_empty_table(docs):
 
 
 def test_keep_first(docs):
-    kept = g.keep_first(docs(odd_rows()), words=3, num=90, den=100)
+    rows = [*odd_rows(), (3, prose(60, 1).upper()), (10, "another text with the same id altogether")]
+    kept = g.keep_first(docs(rows), words=3, num=90, den=100)
     assert kept.columns == docs([]).columns
-    ids = [r["doc_id"] for r in kept.collect()]
-    assert 3 in ids and 10 not in ids and None in ids and len(ids) == len(set(ids)) and {20, 21, 22, 23, 31, 32} <= set(ids)
+    got = [(r["doc_id"], r["text"]) for r in kept.collect()]
+    # Rows whose id is their component's, equal ones once, and all without an id or words.
+    groups = list(zip(rows, brute.similarity_groups(rows, 3, 90, 100), strict=True))
+    want = [x for x, (i, n, _, _) in groups if i is None or not n] + list({x: 0 for x, (i, n, c, _) in groups if n and i is not None and i == c})
+    assert (3, rows[1][1]) in want and (10, rows[-1][1]) in want and (10, rows[0][1]) not in want
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
+def test_copies_of_one_id_in_two_groups(docs):
+    a, b = prose(60, 1), prose(60, 2)
+    kept = g.keep_first(docs([(1, a), (1, b), (2, a), (2, b), (3, edited(a, 1, 1))])).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in kept) == sorted([(1, a), (1, b)])
+
+
+def test_links_in_blocks(docs, monkeypatch):
+    """Components cut into many blocks, and shared shingles in many passes."""
+    monkeypatch.setattr(g, "SHORT", 3)
+    monkeypatch.setattr(g, "MEMBERS", 7)
+    rows = near_group(60) + [(500 + i, edited(prose(40, 4), i % 3, i)) for i in range(9)]
+    got = [tuple(r) for r in g.similarity_groups(docs(rows), words=3, num=80, den=100).collect()]
+    assert sorted(got) == sorted(brute.similarity_groups(rows, 3, 80, 100)) and max(r[3] for r in got) > 20
 
 
 def test_signatures_never_overstate_the_difference():

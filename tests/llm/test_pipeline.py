@@ -30,7 +30,7 @@ def test_each_stage_takes_effect(spark, docs, tmp_path):
     ids = [set(k) for k in kept]
     assert ids[0] == {i for i, _ in rows} - {100, 106}
     assert kept[1] == {i: t for i, _, _, t in deduplicated([(i, t) for i, t in rows if i in ids[0]])} and line not in kept[1][105]
-    groups = {i: c for i, _, c in brute.similarity_groups(sorted(kept[1].items()), 5, 80, 100)}
+    groups = {i: c for i, _, c, _ in brute.similarity_groups(sorted(kept[1].items()), 5, 80, 100)}
     assert ids[2] == {i for i, c in groups.items() if i == c} and not ids[2] & {101, 102}
     assert kept[1][110] == "" and 110 in ids[2]  # an exact copy has lost all its lines
     assert ids[3] == ids[2] - {103}
