@@ -19,8 +19,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A line that several documents hold stays in the first of them."""
-    return line_dedup.dedup_lines(docs)
+    """A line that several documents hold stays in the first of them; documents that it leaves without a word go."""
+    return line_dedup.dedup_lines(docs, drop_emptied=True)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
