@@ -18,9 +18,9 @@ from ._common import words
 from .trees import column, forest
 
 SHORTEST = 12
-#: A candidate; = at its end is padding unless a value follows.
+#: A candidate: a run, or several joined by dots, as signed tokens are; = at its end is padding unless a value follows.
 KEY = "[A-Za-z0-9+/_-]"
-RUN = f"{KEY}{{{SHORTEST},}}+(?:={{1,2}}(?![A-Za-z0-9+/_=-]))?"
+RUN = f"{KEY}{{{SHORTEST},}}+(?:\\.{KEY}{{{SHORTEST},}}+)*+(?:={{1,2}}(?![A-Za-z0-9+/_=-]))?"
 #: What separates the parts of a word that have nothing to do with each other.
 BREAKS = "[,;&?@|<>(){}\\[\\]]"
 #: Characters of the words before and after that are looked at.
@@ -122,13 +122,13 @@ def labelled_findings(n: int = 1500, seed: int = 11) -> list[tuple[str, str, str
     out = []
     for _ in range(n):
         name = r.choice(["token", "secret", "password", "api_key", "apikey", "auth_token", "access_key", "client_secret", "passwd"])
-        kind = r.randrange(8)
-        value = [lambda: "AKIA" + pick(caps + "0189", 16), lambda: "ghp_" + pick(string.ascii_letters + string.digits, 36), lambda: pick(hexa, r.choice([16, 18, 20, 32, 40, 64])), lambda: pick(b64, r.choice([24, 32, 40, 44])), lambda: "sk_live_" + pick(string.ascii_letters + string.digits, 24), lambda: pick(string.ascii_letters + string.digits, r.choice([16, 20, 32])), lambda: pick(r.choice([string.ascii_letters, string.ascii_lowercase]), r.randint(9, 24)), lambda: r.choice(DICTIONARY).capitalize() + str(r.randrange(10, 10**4)) + pick(string.ascii_letters + string.digits, r.randint(0, 4))][kind]()
-        form = r.randrange(4) if kind in (0, 1, 4) else r.randrange(1, 4)
+        kind = r.randrange(9)
+        value = [lambda: "AKIA" + pick(caps + "0189", 16), lambda: "ghp_" + pick(string.ascii_letters + string.digits, 36), lambda: pick(hexa, r.choice([16, 18, 20, 32, 40, 64])), lambda: pick(b64, r.choice([24, 32, 40, 44])), lambda: "sk_live_" + pick(string.ascii_letters + string.digits, 24), lambda: pick(string.ascii_letters + string.digits, r.choice([16, 20, 32])), lambda: pick(r.choice([string.ascii_letters, string.ascii_lowercase]), r.randint(9, 24)), lambda: r.choice(DICTIONARY).capitalize() + str(r.randrange(10, 10**4)) + pick(string.ascii_letters + string.digits, r.randint(0, 4)), lambda: f"eyJ{pick(b64[:62] + '-_', r.randint(14, 40))}.eyJ{pick(b64[:62] + '-_', r.randint(20, 120))}.{pick(b64[:62] + '-_', 43)}"][kind]()
+        form = r.randrange(4) if kind in (0, 1, 4, 8) else r.randrange(1, 4)
         word, before = [(value, plain(2)), (f'"{value}"', f"{name} ="), (f"{name}={value}", plain(2)), (f"{value}", f"{r.choice(DICTIONARY)} {name}:")][form]
         out.append((value, word, before, plain(1), 1))
     for _ in range(n):
-        kind = r.randrange(12)
+        kind = r.randrange(13)
         if kind == 0:
             value = f"{pick(hexa, 8)}-{pick(hexa, 4)}-{pick(hexa, 4)}-{pick(hexa, 4)}-{pick(hexa, 12)}"
             word, before = value, r.choice(["with id", "uuid is", "request uuid", plain(2)])
@@ -156,6 +156,9 @@ def labelled_findings(n: int = 1500, seed: int = 11) -> list[tuple[str, str, str
         elif kind == 8:
             value = r.choice([english() + r.choice(["", "s", "ing"]), english().capitalize(), r.choice(DICTIONARY) + "-" + english(), "".join(r.choice(DICTIONARY).capitalize() for _ in range(r.randint(2, 4))), "_".join(r.choice(DICTIONARY) for _ in range(r.randint(2, 4))), r.choice("-_=") * r.randint(12, 60)])
             word, before = value + r.choice(["", ",", ".", ")", "="]), r.choice([plain(2), plain(1) + " ="])
+        elif kind == 12:
+            value = ".".join(r.choice(["_", "-", ""]).join(r.choice(DICTIONARY) for _ in range(r.randint(3, 4))) for _ in range(r.randint(2, 3)))
+            word, before = value + r.choice(["", "()", ","]), plain(2)
         elif kind in (9, 10):
             value = r.choice([r.choice(DICTIONARY), r.choice(DICTIONARY).capitalize(), r.choice(["a", "is", "no", "not", "if", "The", "yes", "null", "None", "1", "0", "12"]), english(), english().capitalize(), r.choice(DICTIONARY) + "_" + r.choice(DICTIONARY), r.choice(DICTIONARY) + r.choice(DICTIONARY).capitalize()])
             name = r.choice(["token", "secret", "password", "api_key", "auth", "author", "signature", "passwd"])
@@ -184,7 +187,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", labell
     labelled: findings (candidate, word, before, after, label) to learn from, ``labelled_findings()`` by default.
 
     * Null and empty texts have no candidates; rows with a null id are reported with it; repeated rows are each.
-    * All candidates of a word are scored, each with what stands beside it.
+    * All candidates of a word are scored, each with what stands beside it; of a very long text all are.
+    * An empty table gives an empty result; further columns of docs are not looked at.
     """
     score = learned(docs.sparkSession, labelled_findings() if labelled is None else labelled)
     found = findings(docs, id_col, text_col)
