@@ -191,12 +191,15 @@ def judged(docs: DataFrame, text_col: str = "text", prefix: str = "__hs_", carry
     need = list(dict.fromkeys([*carry, text_col]))
     rows = written(with_stats(docs.select(need), text_col, prefix).select(*carry, *(prefix + s for s in STATS)), "stats")
     votes = votes_of(prefix)
-    code = sum((v * 3**j for j, v in enumerate(votes)), F.lit(0)).alias("code")
-    counts = {tuple(r["code"] // 3**j % 3 for j in range(len(RULE_NAMES))): r["count"] for r in rows.select(code).groupBy("code").count().collect()}
-    model = fit_votes(counts)
+    code = sum((v * 3**j for j, v in enumerate(votes)), F.lit(0))
+    found = {r["code"]: r["count"] for r in rows.select(code.alias("code")).groupBy("code").count().collect()}
+    pattern = {c: tuple(c // 3**j % 3 for j in range(len(RULE_NAMES))) for c in found}
+    model = fit_votes({pattern[c]: n for c, n in found.items()})
+    # The verdict by pattern, all of which were counted: a short test, where the posterior's expression is long.
+    good_codes = [c for c in sorted(found) if model.good(np.array([pattern[c]]))[0] >= 0.5]
     good = model.quality(votes)
     failed = base_failed(F.col(prefix + "n_words"), F.col(prefix + "n_repeat_words"))
-    out = rows.select("*", failed.alias(prefix + "base_failed"), good.alias(prefix + "quality"), (~failed & (good >= 0.5)).alias(prefix + "kept"))
+    out = rows.select("*", failed.alias(prefix + "base_failed"), good.alias(prefix + "quality"), (~failed & code.isin(good_codes)).alias(prefix + "kept"))
     return out, model
 
 
